@@ -30,7 +30,7 @@ from .common import map_batches, texts_of
 from .pieces import PieceEncoder
 
 # The pre-tokenizer's pattern, with its definition of white space written out.
-_S = r"[\t-\r \x85\xa0  -     　]"
+_S = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _N = _S.replace("[", "[^", 1)
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!\p{{L}}|\p{{N}}){_N})+|{_S}+(?!{_N})|{_S}+"
 #: Bytes of a pre-token that are merged at a time, besides the lookahead.

@@ -15,7 +15,7 @@ CACHE_PIECES = 400_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 #: White space other than blank and line feed, in any of the tokenizers' definitions.
-_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def is_regular(text: str) -> bool:
