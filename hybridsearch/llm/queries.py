@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, simhash, token_counts, token_files
+from . import bpe, license_scan, outliers, quality, sharding, simhash, token_counts, token_files
 from .common import table
 
 
@@ -35,5 +35,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op5_bpe_round_trip, op6_token_files, op7_token_counts, op8_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.PLACE_SQL}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op5_bpe_round_trip, op6_token_files, op7_token_counts, op8_simhash_near_dedup, op9_license_scan, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.PLACE_SQL, "op9_license_scan": license_scan.SCAN_SQL}
