@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
-from .pieces import PieceEncoder
+from .pieces import PieceEncoder, byte_chars
 
 # The pre-tokenizer's pattern, with its definition of white space written out.
 _S = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -35,13 +35,9 @@ _N = _S.replace("[", "[^", 1)
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!\p{{L}}|\p{{N}}){_N})+|{_S}+(?!{_N})|{_S}+"
 #: Bytes of a pre-token that are merged at a time, besides the lookahead.
 WINDOW = 1024
-
-
-def byte_chars() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: visible Latin-1 bytes stand for themselves, the others are numbered from 256."""
-    visible = {b for lo, hi in (("!", "~"), ("¡", "¬"), ("®", "ÿ")) for b in range(ord(lo), ord(hi) + 1)}
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+#: Ids are packed in so many bits.
+_BITS = 20
+_MASK, _NONE = (1 << _BITS) - 1, 1 << 62
 
 
 def sufficient_lookahead(rules: Iterable[tuple[bytes, bytes]]) -> int:
@@ -72,7 +68,8 @@ class Merges:
         self.byte_id = [0] * 256
         for c, b in as_byte.items():
             self.byte_id[b] = vocab[c]
-        self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(rules)}
+        # pair of ids -> rank and merged id, each packed into one integer
+        self.rules = {vocab[a] << _BITS | vocab[b]: k << _BITS | vocab[a + b] for k, (a, b) in enumerate(rules)}
         self.lookahead = sufficient_lookahead((raw(a), raw(b)) for a, b in rules)
         self.longest = max(map(len, self.bytes_of.values()))
 
@@ -81,39 +78,38 @@ class Merges:
         ids = [self.byte_id[b] for b in data]
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank = self.rank
-        found = [rank.get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best = min((f for f in found if f), default=None)
-            if best is None:
-                return ids
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-            del found[i]
+        rule = self.rules.get
+        found = [rule(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NONE:
+            i, new = found.index(best), best & _MASK
+            ids[i] = new
+            del ids[i + 1], found[i]
             if i:
-                found[i - 1] = rank.get((ids[i - 1], ids[i]))
+                found[i - 1] = rule(ids[i - 1] << _BITS | new, _NONE)
             if i < len(found):
-                found[i] = rank.get((ids[i], ids[i + 1]))
+                found[i] = rule(new << _BITS | ids[i + 1], _NONE)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links."""
-        rank, n = self.rank, len(ids)
+        rules, n = self.rules, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank.get((a, b)))]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rules.get(a << _BITS | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
+            rule, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
+            new = rule & _MASK
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := rank.get((new, ids[k])):
-                    heapq.heappush(heap, (*r, i, new, ids[k]))
-            if (h := before[i]) >= 0 and (r := rank.get((ids[h], new))):
-                heapq.heappush(heap, (*r, h, ids[h], new))
+                if (r := rules.get(new << _BITS | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (r := rules.get(ids[h] << _BITS | new)) is not None:
+                heapq.heappush(heap, (r, h, ids[h], new))
         return [i for i in ids if i >= 0]
 
 
@@ -165,7 +161,7 @@ class ByteBPE:
         self.pattern = regex.compile(PATTERN)
         found = "|".join(map(regex.escape, sorted(self.merges.special, key=len, reverse=True)))
         self.special = regex.compile(f"({found})") if found else None
-        self.pieces = PieceEncoder(lambda strings: map(self._stream, strings), tuple(self.merges.special))
+        self.pieces = PieceEncoder(self._stream, self.merges.special)
         self.bytes_of = self.merges.bytes_of.__getitem__
         self.decimal = {i: str(i) for i in self.merges.bytes_of}.__getitem__
 
@@ -186,8 +182,8 @@ class ByteBPE:
         return tuple(out)
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        for parts in self.pieces(texts):
-            yield list(chain.from_iterable(parts))
+        for text in texts:
+            yield list(chain.from_iterable(self.pieces(text)))
 
     def decode(self, ids: list[int], step: int = 4096) -> Iterator[str]:
         """Portions of the text; their concatenation is the whole."""

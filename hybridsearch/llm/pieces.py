@@ -1,18 +1,21 @@
 """Word-wise caches over a tokenizer.
 
-The pre-tokenizers used here always cut before a single blank between two visible characters and
-around a single line feed.  A text whose white space consists of such single blanks and line feeds
-only ("regular") can thus be encoded piece by piece, and each distinct piece needs the tokenizer once
-per worker.  Any other text goes to the tokenizer whole.
+The pre-tokenizers used here always cut before a single blank between two visible characters, around
+a single line feed, and between letters and a following comma or full stop.  A text whose white space consists
+of such single blanks and line feeds only ("regular") can thus be encoded word by word, and a word a
+worker has met before needs no tokenizer.  Any other text goes to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
+from itertools import chain
+from typing import Any
 
-#: Pieces a worker's cache holds before it is emptied; bounds the worker's memory, not the results.
-CACHE_PIECES = 400_000
-#: Longer pieces are not kept.
+#: Words a worker's cache holds before it is emptied; bounds the worker's memory, not the results.
+CACHE_WORDS = 400_000
+#: Longer words are not kept.
 CACHE_CHARS = 64
 #: White space other than blank and line feed, in any of the tokenizers' definitions.
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,50 +32,92 @@ def is_regular(text: str) -> bool:
     )
 
 
-class PieceCache(dict):
-    """piece -> ``encode([piece])[0]``.
+def byte_chars() -> dict[str, int]:
+    """The printable stand-ins of byte-level vocabularies: visible Latin-1 bytes stand for themselves, the others are numbered from 256."""
+    visible = {b for lo, hi in (("!", "~"), ("\xa1", "\xac"), ("\xae", "\xff")) for b in range(ord(lo), ord(hi) + 1)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    A piece is a word with the line feed before it, if there is one; any other word but a text's first
-    stands for itself with a blank before it.
+
+class WordCache(dict):
+    """word -> value of the word with a blank before it; a word after a line feed is kept with the line feed instead.
+
+    ``encode`` gives a string's value; values of neighbouring pieces are joined by ``+``.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable]):
+    def __init__(self, encode: Callable[[str], Any]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.newline = encode, encode("\n")
+        self.marks = {mark: encode(mark) for mark in ",."}
+
+    def __missing__(self, word: str):
+        if word[-1] in self.marks and (base := word[:-1]).isalpha():
+            return self[base] + self.marks[word[-1]]  # not kept: most such words are rare
+        value = self.newline + self.bare(word[1:]) if word[0] == "\n" else self.encode(" " + word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+    def bare(self, word: str):
+        """The value of a word with nothing before it."""
+        if word[-1] in self.marks and word[:-1].isalpha():
+            return self.encode(word[:-1]) + self.marks[word[-1]]
+        return self.encode(word)
+
+
+class PieceEncoder:
+    """Values of texts, as iterables of the values of their words in order.
+
+    Texts with one of ``special`` in them, and irregular ones, are encoded whole; ``cut=False`` does so for all.
+    """
 
-    def __missing__(self, piece: str):
-        return next(iter(self.encode([piece if piece[0] == "\n" else " " + piece])))
+    def __init__(self, encode: Callable[[str], Any], special: Iterable[str], cut: bool = True):
+        self.cache, self.encode, self.special, self.cut = WordCache(encode), encode, tuple(special), cut
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces not known yet in one call."""
-        new = [p for p in pieces.difference(self.keys()) if len(p) <= CACHE_CHARS]
-        if len(self) + len(new) > CACHE_PIECES:
-            self.clear()
-            new = [p for p in pieces if len(p) <= CACHE_CHARS]
-        self.update(zip(new, self.encode([p if p[0] == "\n" else " " + p for p in new])))
+    def __call__(self, text: str) -> Iterable:
+        if not text:
+            return []
+        if not self.cut or not is_regular(text) or any(s in text for s in self.special):
+            return [self.encode(text)]
+        first, *words = text.replace("\n", " \n").split(" ")
+        return chain([self.cache.bare(first)], map(self.cache.__getitem__, words))
 
 
-class PieceEncoder:
-    """Values of texts as lists of the values of their pieces, in order.
+class Library:
+    """The tokenizers library's ids of a string, without added special tokens, truncation or padding.
 
-    ``encode`` maps strings to values (any string, whole texts too).  Texts with one of ``special``
-    in them, and irregular ones, are encoded whole.
+    Single words of Latin letters are given to the file's model directly, in the form that its normalizer
+    and pre-tokenizer make of them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], special: tuple[str, ...], step: int = 400):
-        self.cache, self.encode, self.special, self.step = PieceCache(encode), encode, special, step
-
-    def __call__(self, texts: list[str]) -> Iterable[list]:
-        for i in range(0, len(texts), self.step):
-            split: list[list[str] | None] = []
-            for text in texts[i : i + self.step]:
-                whole = not is_regular(text) or any(s in text for s in self.special)
-                split.append(None if whole else text.replace("\n", " \n").split(" "))
-            self.cache.learn(set().union(*(p[1:] for p in split if p)))
-            of = self.cache.__getitem__
-            for text, pieces in zip(texts[i : i + self.step], split, strict=True):
-                if pieces is None:
-                    yield list(self.encode([text])) if text else []
-                else:
-                    rest = map(of, pieces[1:])
-                    yield [*self.encode(pieces[:1]), *rest]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.model = self.tok.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        norm, pre = spec["normalizer"], spec["pre_tokenizer"]
+        keeps_blank = norm is None and pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        steps = [p["type"] for p in pre.get("pretokenizers", [])]
+        lower = norm is not None and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"]
+        #: whether texts may be cut into words at all
+        self.cut, self.lower = keeps_blank or lower, lower
+        stand_in = {b: c for c, b in byte_chars().items()}
+        self.table = {b: stand_in[b] for b in range(128, 256)}
+        self.blank = "" if lower else stand_in[32]
+
+    def ids(self, piece: str) -> list[int]:
+        word = piece[1:] if piece[0] == " " else piece
+        if self.cut and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            if self.lower:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.table)
+            return [t.id for t in self.model.tokenize(self.blank + word if piece[0] == " " else word)]
+        return self.tok.encode(piece, add_special_tokens=False).ids

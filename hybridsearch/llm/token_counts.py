@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .common import map_batches, new_path, texts_of
-from .pieces import PieceEncoder
+from .pieces import Library, PieceEncoder
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
 
@@ -31,15 +31,10 @@ def _counter(tokenizer_path: str) -> PieceEncoder:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path)
-        # its pieces may span words: no cuts, whole texts only
-        return PieceEncoder(lambda strings: (len(x) for x in model.encode(strings, num_threads=1)), ("",))
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer_path)
-    tok.no_truncation()
-    tok.no_padding()
-    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-    return PieceEncoder(lambda strings: (len(e) for e in tok.encode_batch_fast(strings, add_special_tokens=False)), special)
+        # its pieces may span words: whole texts only
+        return PieceEncoder(lambda text: len(model.encode(text)), (), cut=False)
+    library = Library(tokenizer_path)
+    return PieceEncoder(lambda piece: len(library.ids(piece)), library.special, library.cut)
 
 
 def tokenizer_digest(tokenizer_path: str) -> str:
@@ -75,7 +70,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, cache_
     misses = distinct if known is None else distinct.join(known, "content_digest", "left_anti")
 
     def count(batch: pa.RecordBatch) -> dict:
-        n = [sum(x) for x in _counter(tokenizer_path)(texts_of(batch))]
+        count_pieces = _counter(tokenizer_path)
+        n = [sum(count_pieces(text)) for text in texts_of(batch)]
         return {"content_digest": batch.column("content_digest"), "tokenizer_digest": pa.array([version] * len(n)), "n_tokens": pa.array(n, type=pa.int64())}
 
     map_batches(misses, count, CACHE_SCHEMA).write.mode("append").parquet(path)

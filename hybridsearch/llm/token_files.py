@@ -13,6 +13,7 @@ reads back as no rows; further columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,25 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, new_path, texts_of
-from .pieces import PieceEncoder
+from .pieces import Library, PieceEncoder
 
 FILE_SCHEMA = "doc_id bigint, part int, seq bigint, n_tokens bigint, before bigint, tokens array<int>"
 
 
 @lru_cache(maxsize=4)
 def library_encoder(tokenizer_path: str) -> PieceEncoder:
-    """Little-endian ids of pieces, by the tokenizers library; one per worker."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer_path)
-    tok.no_truncation()
-    tok.no_padding()
-
-    def encode(strings: list[str]):
-        return (np.array(e.ids, dtype="<i4").tobytes() for e in tok.encode_batch_fast(strings, add_special_tokens=False))
-
-    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-    return PieceEncoder(encode, special)
+    """Ids as 32-bit integers' bytes, by the tokenizers library; one per worker."""
+    library = Library(tokenizer_path)
+    return PieceEncoder(lambda piece: array("i", library.ids(piece)).tobytes(), library.special, library.cut)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
@@ -59,7 +51,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                blobs = [b"".join([*ids, end]) for ids in library_encoder(tokenizer_path)(texts_of(some))]
+                encode = library_encoder(tokenizer_path)
+                blobs = [b"".join(encode(text)) + end for text in texts_of(some)]
                 n = np.fromiter((len(b) // 4 for b in blobs), dtype=np.int64, count=len(blobs))
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(blobs))])
@@ -88,10 +81,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # one row per part, so this window is bounded by the number of files
+    # one row per part, so the window and the broadcast are bounded by the number of files
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     bases = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("before"))
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("before"))
 
 
 def id_checksums(rows: DataFrame) -> DataFrame:
