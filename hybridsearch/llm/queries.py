@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, outliers, paragraphs, quality, sharding, simhash, token_counts, token_files
+from . import bpe, decontaminate, license_scan, outliers, paragraphs, quality, sharding, simhash, token_counts, token_files
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(table(spark, sf_dir, "documents")).drop("digest")
 
@@ -47,5 +51,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op4_substring_dedup, op5_bpe_round_trip, op6_token_files, op7_token_counts, op8_simhash_near_dedup, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_benchmark_decontamination, op4_substring_dedup, op5_bpe_round_trip, op6_token_files, op7_token_counts, op8_simhash_near_dedup, op9_license_scan, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.PLACE_SQL, "op9_license_scan": license_scan.SCAN_SQL}
