@@ -71,6 +71,11 @@ def expand_abbreviations(tokens: Column, expansions: dict[str, str]) -> Column:
 
     The bare word ``is`` is expanded only before a number.
     """
+    # a one-element list binds the tokens, so that they are computed once
+    return F.get(F.transform(F.array(tokens), lambda bound: _expand(bound, expansions)), 0)
+
+
+def _expand(tokens: Column, expansions: dict[str, str]) -> Column:
     of = _literal(expansions)
     n = F.size(tokens)
 

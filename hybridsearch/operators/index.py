@@ -41,17 +41,21 @@ def bm25_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def hash_encode(text: Column, dim: int = DIM) -> Column:
-    """A feature-hashing vector of a text's tokens, L2-normalised: the default encoder, without a model."""
-    slots = F.transform(tokenize(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    return l2_normalize(counts)
+def hash_encode(chunks: DataFrame, dim: int = DIM) -> DataFrame:
+    """``chunk_id, embedding``: L2-normalised token counts in ``dim`` slots by the tokens' digests; the default encoder, without a model."""
+    words = chunks.select("chunk_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term"))
+    slot = F.pmod(F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    counts = words.groupBy("chunk_id", slot.alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    filled = counts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("filled"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("filled", k), F.lit(0.0)))
+    return filled.select("chunk_id", vector.alias("v")).select("chunk_id", l2_normalize(F.col("v")).alias("embedding"))
 
 
 def l2_normalize(vector: Column) -> Column:
     """A vector divided by its length, or by 1e-9 if that is larger."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-9)))
+    # a one-element list binds the length, so that it is computed once
+    return F.get(F.transform(F.array(F.greatest(norm, F.lit(1e-9))), lambda n: F.transform(vector, lambda x: x.cast("double") / n)), 0)
 
 
 def encode_text(chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], list]] | None = None, batch: int = 64) -> DataFrame:
@@ -61,7 +65,7 @@ def encode_text(chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], l
     token's vector); it is made once a task.  Without one, tokens are hashed.
     """
     if encoder is None:
-        return chunks.select("chunk_id", hash_encode(F.coalesce("text", F.lit(""))).alias("embedding"))
+        return hash_encode(chunks)
 
     def run(frames: Iterator) -> Iterator:
         import numpy as np
