@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokenize
 
@@ -59,6 +60,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFra
     chunk_id = vectors.schema["chunk_id"].dataType.simpleString()
     query_id = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_id}, chunk_id {chunk_id}, score double"
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     out, block = None, []
 
     def scored(block: list) -> DataFrame:
@@ -81,7 +83,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFra
                     i, j = i[order], j[order]
                     place = np.arange(len(i)) - np.searchsorted(i, i)
                     i, j = i[place < k], j[place < k]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[lo + x] for x in i]), "chunk_id": batch.column("chunk_id").take(pa.array(j)), "score": pa.array(rows[i, j])})
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[lo + x] for x in i], type=id_type), "chunk_id": batch.column("chunk_id").take(pa.array(j)), "score": pa.array(rows[i, j])})
 
         return vectors.select("chunk_id", "embedding").mapInArrow(run, schema)
 

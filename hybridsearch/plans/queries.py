@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +32,6 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
-    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.normalize_records(views.chunks_raw(spark, sf))
 
@@ -60,19 +52,19 @@ def pages_to_lines(spark, sf):
 @_query
 def read_chunks(spark, sf):
     """Raw chunks written as one JSON array a file, read back."""
-    path = _shared(spark, "chunks-json")
+    path = files.shared_path(spark, "chunks-json")
     raw = views.chunks_raw(spark, sf).withColumnRenamed("text", "content")
     packed = raw.groupBy(F.pmod("seq", F.lit(16)).alias("file")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "standard_id", "title", "content", "page_number", "category", "source")))).alias("value"))
     packed.repartition(16, "file").select(F.when(F.col("file") % 2 == 0, F.col("value")).otherwise(F.concat(F.lit('{"chunks":'), "value", F.lit("}"))).alias("value")).write.option("lineSep", "\n").text(path)
     lines = spark.read.text(path)  # a line is a file's content here
-    one = _shared(spark, "chunks-files")
+    one = files.shared_path(spark, "chunks-files")
     lines.withColumn("n", F.xxhash64("value")).write.partitionBy("n").text(one)
     return files.read_chunks(spark, f"{one}/*/*.txt").select("standard_id", "title", F.length("text").cast("bigint").alias("n_chars"), "page_number", "category", "source")
 
 
 @_query
 def write_chunks(spark, sf):
-    path = _shared(spark, "chunks")
+    path = files.shared_path(spark, "chunks")
     files.write_chunks(*corpus.prepare_corpus(views.chunks_raw(spark, sf)), path)
     parents, children = files.load_chunks(spark, path)
     count = children.groupBy("standard_id").agg(F.count("*").alias("n_children"))
@@ -81,7 +73,7 @@ def write_chunks(spark, sf):
 
 @_query
 def read_queries(spark, sf):
-    path = _shared(spark, "queries-json")
+    path = files.shared_path(spark, "queries-json")
     rows = views.queries(spark, sf).where("query_id LIKE 'B-%'").select(F.col("query_id").alias("id"), "query")
     # one query file a block of a thousand items
     block = F.floor(F.substring("id", 3, 20).cast("bigint") / 1000)
@@ -91,7 +83,7 @@ def read_queries(spark, sf):
 
 @_query
 def write_results(spark, sf):
-    path = _shared(spark, "results")
+    path = files.shared_path(spark, "results")
     rows = views.results(spark, sf).select("seq", F.col("query_id").alias("id"), F.lit("").alias("query"), "expected_standards", "retrieved_standards", "latency_seconds")
     files.write_results(rows, path)
     back = files.read_results(spark, path)
@@ -100,7 +92,7 @@ def write_results(spark, sf):
 
 @_query
 def build_index(spark, sf):
-    path = _shared(spark, "index")
+    path = files.shared_path(spark, "index")
     parents, children = corpus.prepare_corpus(views.chunks_raw(spark, sf))
     files.save_index(plans.build_index(parents, children), path)
     store = files.load_index(spark, path)
@@ -329,7 +321,9 @@ def _store(spark, sf):
     records = _records(spark, sf)
     chunks = records.withColumn("chunk_id", F.col("seq"))
     known = chunks.select("chunk_id")
-    return plans.index_chunks(chunks, corpus.dedup_keep_longest(records), views.vectors(spark, sf).join(known, "chunk_id", "left_semi"))
+    path = files.shared_path(spark, "index")
+    files.save_index(plans.index_chunks(chunks, corpus.dedup_keep_longest(records), views.vectors(spark, sf).join(known, "chunk_id", "left_semi")), path)
+    return files.load_index(spark, path)
 
 
 def _asked(spark, sf):
@@ -339,7 +333,7 @@ def _asked(spark, sf):
 def _fused(spark, sf):
     store, asked = _store(spark, sf), relevance_ops.relevance_fallback(_asked(spark, sf)).where("is_relevant")
     dense = search.dense_top_k(views.query_vectors(spark, sf).join(asked, "query_id", "left_semi"), store.vectors)
-    return store, asked, fusion.rrf_fusion(dense, search.sparse_top_k(asked, store.postings, store.idf, store.stats))
+    return store, asked, files.materialize(fusion.rrf_fusion(dense, search.sparse_top_k(asked, store.postings, store.idf, store.stats)), "fused")
 
 
 @_query
@@ -359,7 +353,7 @@ def build_candidates(spark, sf):
 
 def _prioritised(spark, sf):
     store, asked, candidates = _candidates(spark, sf)
-    return store, asked, fusion.part_priority(candidates, asked)
+    return store, asked, files.materialize(fusion.part_priority(candidates, asked), "candidates")
 
 
 def _ranked(df):
@@ -406,7 +400,7 @@ def batch_retrieve(spark, sf):
 @_query
 def recommend_stream(spark, sf):
     """The queries written as files, streamed through the index, and the sink read back."""
-    source, sink, marks = (_shared(spark, x) for x in ("stream-in", "stream-out", "stream-marks"))
+    source, sink, marks = (files.shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-marks"))
     _asked(spark, sf).write.json(source)
     store, vectors = _store(spark, sf), views.query_vectors(spark, sf)
     start_stream(spark, source, sink, marks, store, lambda batch: vectors.join(batch.select("query_id"), "query_id", "left_semi")).awaitTermination()
@@ -417,7 +411,7 @@ def recommend_stream(spark, sf):
 
 
 def _results(spark, sf):
-    return plans.retrieve(_asked(spark, sf), _store(spark, sf), views.query_vectors(spark, sf))
+    return files.materialize(plans.retrieve(_asked(spark, sf), _store(spark, sf), views.query_vectors(spark, sf)), "results")
 
 
 @_query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, enrich, fusion, index, search
 from ..operators.relevance import relevance_fallback
-from ..sources.files import SearchIndex
+from ..sources.files import SearchIndex, materialize
 
 
 def build_index(parents: DataFrame, children: DataFrame, encoder: Callable | None = None) -> SearchIndex:
@@ -21,8 +21,8 @@ def build_index(parents: DataFrame, children: DataFrame, encoder: Callable | Non
 
 
 def index_chunks(chunks: DataFrame, parents: DataFrame, vectors: DataFrame) -> SearchIndex:
-    """An index of chunks that have ids and vectors already."""
-    postings = index.term_frequencies(chunks)
+    """An index of chunks that have ids and vectors already.  Postings are written once, for the statistics on them."""
+    postings = materialize(index.term_frequencies(chunks), "postings")
     stats = index.corpus_stats(chunks)
     return SearchIndex(chunks, parents, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats, vectors)
 
@@ -35,7 +35,9 @@ def retrieve(queries: DataFrame, store: SearchIndex, query_vectors: DataFrame, t
     asked = relevance_fallback(queries).where("is_relevant")
     dense = search.dense_top_k(query_vectors.join(asked, "query_id", "left_semi"), store.vectors)
     sparse = search.sparse_top_k(asked, store.postings, store.idf, store.stats)
-    candidates = fusion.part_priority(fusion.build_candidates(fusion.rrf_fusion(dense, sparse), store.chunks), asked)
+    # few rows a query from here on: kept as tables, so that sizing a join does not search again
+    fused = materialize(fusion.rrf_fusion(dense, sparse), "fused")
+    candidates = materialize(fusion.part_priority(fusion.build_candidates(fused, store.chunks), asked), "candidates")
     if rerank:
         candidates = fusion.rerank(candidates, asked, store.parents, top_k, scorer)
     return fusion.hydrate_parents(fusion.dedup_results(candidates, top_k), store.parents)

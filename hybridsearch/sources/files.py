@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +15,19 @@ RESULT_SCHEMA = "id string, query string, expected_standards array<string>, retr
 DEFAULT_SOURCE = "unknown"
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_chunks(spark: SparkSession, path: str, source: str = DEFAULT_SOURCE) -> DataFrame:
     """Raw chunks of JSON files, each a top-level array or ``{"chunks": [...]}``: ``seq`` and the chunk columns.
 
