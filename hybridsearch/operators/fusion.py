@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +78,7 @@ def rerank(
         else:
 
             @F.pandas_udf("double")
-            def scored(pairs: Iterator) -> Iterator:
-                import pandas as pd
-
+            def scored(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
                 score = scorer()
                 for asked, passages in pairs:
                     yield pd.Series(score(asked.tolist(), passages.tolist()), dtype="float64")

@@ -197,3 +197,14 @@ def test_plans(spark):
     found = search.sparse_top_k(asked, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+
+
+def test_rerank_with_a_scorer(spark):
+    rows = [("q", c, f"IS {c}", f"text {c}", k) for k, c in enumerate("abc", 1)]
+    candidates = spark.createDataFrame(rows, "query_id string, chunk_id string, standard_id string, text string, rank int")
+    asked = spark.createDataFrame([("q", "c b")], "query_id string, query string")
+    parents = spark.createDataFrame([("IS b", "other")], "standard_id string, text string")
+    out = fusion.rerank(candidates, asked, parents, 1, lambda: lambda q, p: [float(len(x)) + (x == "text c") for x in p]).orderBy("rank").collect()
+    assert [r.chunk_id for r in out] == ["c", "a"]
+    assert [r.chunk_id for r in fusion.rerank(candidates, asked, parents, 1).orderBy("rank").collect()] == ["c", "a"]
+    assert [r.chunk_id for r in fusion.rerank(candidates, asked, parents, 1, passthrough=True).orderBy("rank").collect()] == ["a", "b"]
