@@ -19,9 +19,9 @@ passes them on).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,7 +109,7 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def _bands(docs: DataFrame, n: int) -> DataFrame:
-    """``band, digest, doc_id, start``: a row for each paragraph and band; the place tells where to find its text."""
+    """``band, digest, doc_id``: a row for each paragraph and band; the document tells where to find its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,16 +138,19 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "digest bigint, members array<bigint>").dropDuplicates(["digest"])
 
 
-def _forest(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    """A spanning forest of the pairs of ``group`` whose Jaccard coefficient reaches ``least``."""
-    digests, sets = group["digest"].to_numpy(), group["members"].tolist()
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(s) for s in sets])
-    holds = np.zeros((len(sets), column.max() + 1), dtype=np.float32)
-    holds[np.repeat(np.arange(len(sets)), size), column] = 1
-    both = holds @ holds.T
-    close = both >= least * (size[:, None] + size[None, :] - both) - 1e-4
-    root = np.arange(len(sets))
+def _forest(digests: list[int], sets: list[set[int]], least: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard coefficient reaches ``least``."""
+    n = len(digests)
+    if n <= 8:
+        pairs = ((i, j) for i in range(n) for j in range(i + 1, n) if _close(len(sets[i] & sets[j]), len(sets[i]), len(sets[j]), least))
+    else:
+        size = np.array([len(s) for s in sets])
+        _, column = np.unique(np.concatenate([list(s) for s in sets]), return_inverse=True)
+        holds = np.zeros((n, column.max() + 1), dtype=np.float32)
+        holds[np.repeat(np.arange(n), size), column] = 1
+        close = _close(holds @ holds.T, size[:, None], size[None, :], least)
+        pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))), strict=True)
+    root = list(range(n))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -155,28 +158,47 @@ def _forest(group: pd.DataFrame, least: float) -> pd.DataFrame:
             i = root[i]
         return i
 
-    edges = []
-    for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True):
+    for i, j in pairs:
         a, b = find(i), find(j)
         if a != b:
             root[b] = a
-            edges.append((digests[a], digests[b]))
-    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            yield digests[a], digests[b]
+
+
+def _close(both, a, b, least: float):
+    return both >= least * (a + b - both) - 1e-6
 
 
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``a, b``: links between the digests of different paragraphs that are similar."""
-    # each digest once a band, with a document that has it; copies go before the shuffle
-    members = _bands(docs, tune_bands(similarity, recall)).groupBy("band", "digest").agg(F.min("doc_id").alias("doc_id"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(members.join(sizes, "band"), "buckets")
+    n = tune_bands(similarity, recall)
+    # bands with two digests or more; copies merge before the shuffle
+    shared = _bands(docs, n).groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
+    shared = materialize(shared.select("band"), "shared-bands")
+    few = shared.count() <= BROADCAST_ROWS
+    members = _bands(docs, n).join(F.broadcast(shared) if few else shared, "band").groupBy("band", "digest").agg(F.min("doc_id").alias("doc_id"))
+    members = materialize(members, "buckets")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
     wanted = materialize(members.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("digest").alias("digests")), "wanted")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("digest"), blocks).cast("int")
-    pairs = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = pairs.select("band", "digest", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    found = tasks.join(_sets(docs, wanted), "digest").groupBy("band", "i", "j").applyInPandas(lambda group: _forest(group, similarity), "a bigint, b bigint")
-    return found.distinct()
+    pairs = members.join(sizes, "band").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = pairs.select("band", "digest", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(_sets(docs, wanted), "digest")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "digest", "members")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(rows(batches), key=lambda r: r[:3]):
+            own = list(group)
+            found = list(_forest([r[3] for r in own], [set(r[4]) for r in own], similarity))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    # a bucket's rows (of a pair of blocks, if it is large) follow one another
+    sorted_tasks = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return sorted_tasks.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
