@@ -181,8 +181,9 @@ def near_duplicates(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFram
 def representatives(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest ``doc_id`` stays.
 
-    Of rows that share that ``doc_id`` one stays; rows with a null ``doc_id`` stay only if a component has no other.
+    Of rows that share that ``doc_id`` one stays; rows without ``doc_id`` cannot be told apart and all stay.
     """
     groups = near_duplicates(docs, reach, width)
-    keep = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("m")).select(F.col("m.doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -127,6 +127,7 @@ def test_near_duplicates(spark, table, monkeypatch):
     kept = simhash.representatives(df.drop("component_id"))
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({v for v in least.values() if v is not None})
+    assert sum(i is None for i in ids) == sum(r[0] is None for r in rows)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -160,12 +161,7 @@ def plain_paragraphs(rows):
     return [(own[r][0], int(s), tuple(w[r][s : s + n])) for r, s, n in zip(p.row, p.start, p.n_words, strict=True)]
 
 
-def test_repeats(spark, table):
-    df, rows = table
-    passage = prose(70, 4242)
-    extra = [(500 + i, prose(60, 600 + i) + " " + passage + " " + prose(60, 700 + i), "en", "s", 1, 1, "x") for i in range(6)]
-    rows = rows + extra
-    df = spark.createDataFrame(rows, df.schema)
+def plain_repeats(rows):
     found = plain_paragraphs(rows)
     sets = [{x[2][i : i + 5] for i in range(len(x[2]) - 4)} for x in found]
     links = [(i, j) for i in range(len(found)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
@@ -173,7 +169,16 @@ def test_repeats(spark, table):
     classes = {}
     for i, c in enumerate(root):
         classes.setdefault(c, []).append(found[i][:2])
-    want = Counter((*m, *min(v), m != min(v)) for v in classes.values() if len({d for d, _ in v}) > 1 for m in v)
+    return Counter((*m, *min(v), m != min(v)) for v in classes.values() if len({d for d, _ in v}) > 1 for m in v)
+
+
+def test_repeats(spark, table):
+    df, rows = table
+    passage = prose(70, 4242)
+    extra = [(500 + i, prose(60, 600 + i) + " " + passage + " " + prose(60, 700 + i), "en", "s", 1, 1, "x") for i in range(6)]
+    rows = rows + extra
+    df = spark.createDataFrame(rows, df.schema)
+    want = plain_repeats(rows)
     got = Counter((r.doc_id, r.start_word, r.class_doc_id, r.class_start, r.removed) for r in paragraphs.repeats(df).collect())
     assert got == want and {r[0] for r in extra} <= {k[0] for k in got}
     cut = {r.doc_id: r.text for r in paragraphs.removed(df).where("doc_id >= 500").collect()}
@@ -184,9 +189,9 @@ def test_repeats(spark, table):
 def test_large_buckets_are_divided_without_loss(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "BLOCK", 3)
     text = prose(60, 77).replace(".", "").split()
-    docs = [(i, " ".join([f"first{i}", *text])) for i in range(15)]  # the first paragraphs differ in one word
-    out = paragraphs.repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    assert {r.class_doc_id for r in out} == {0} and {r.doc_id for r in out} == set(range(15))
+    rows = [(i, " ".join([*text, f"last{i}"])) for i in range(30)]  # the last paragraphs differ in one word
+    out = paragraphs.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.start_word, r.class_doc_id, r.class_start, r.removed) for r in out) == plain_repeats(rows)
 
 
 def test_bands_reach_the_recall():
