@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_part_number, extract_query_part, tokenize
 
 RRF_K, CANDIDATES = 60, 10
-#: Small sides are sent to every task up to so many rows, and joined by a shuffle otherwise.
-BROADCAST_ROWS = 1_000_000
+#: Sides are sent to every task up to so many bytes, and joined by a shuffle otherwise.
+BROADCAST_BYTES = 128 << 20
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, to be broadcast if its texts and other values, counted now, are within BROADCAST_BYTES."""
+    width = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def rrf_fusion(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
