@@ -37,7 +37,7 @@ REACH = 8
 ROWS = 2
 #: Members of a bucket that are compared with one another in one task; larger buckets are divided.
 BLOCK = 400
-#: Documents that are sent to every task rather than joined by a shuffle, where there are no more of them.
+#: Bands or digests that are sent to every task rather than joined by a shuffle, where there are no more of them.
 BROADCAST_ROWS = 500_000
 
 
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_pydict({"digest": pa.array(found.keys(), type=pa.int64()), "members": pa.array(found.values(), type=pa.list_(pa.int64()))})
 
-    few = wanted.count() <= BROADCAST_ROWS
+    few = (wanted.agg(F.sum(F.size("digests"))).first()[0] or 0) <= BROADCAST_ROWS
     joined = _own(docs).join(F.broadcast(wanted) if few else wanted, "doc_id")
     return joined.mapInArrow(run, "digest bigint, members array<bigint>").dropDuplicates(["digest"])
 
