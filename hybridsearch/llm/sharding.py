@@ -8,6 +8,8 @@ of the table (one row a slot) places it.  When a shard goes, few records of the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +48,19 @@ def lookup_table(spark: SparkSession, shards: list[str] | int = SHARDS, slots: i
     def put(values: Column, i: Column, value: Column) -> Column:
         return F.concat(F.slice(values, F.lit(1), i), F.array(value), F.slice(values, i + 2, F.size(values)))
 
+    # owners lie in rows of about the table's square root, so that a claim copies two short lists and not the table
+    side = math.isqrt(slots - 1) + 1
+    row = lambda slot: F.floor(slot / side).cast("int")
+
+    def claim(rows: Column, slot: Column, shard: Column) -> Column:
+        return put(rows, row(slot), put(F.get(rows, row(slot)), slot % side, shard))
+
     def turn(state: Column, _: Column) -> Column:
         """Look at the next WINDOW slots of the shard's order: claim the first free one, or move on and stay on turn."""
         shard = state["claimed"] % k
         at = F.get(places(state), shard)
         slot = lambda j: ((F.get(F.col("offsets"), shard) + j.cast("bigint") * F.get(F.col("steps"), shard)) % slots).cast("int")
-        ahead = F.transform(F.sequence(at, at + WINDOW - 1), lambda j: F.get(owners(state), slot(j)))
+        ahead = F.transform(F.sequence(at, at + WINDOW - 1), lambda j: F.get(F.get(owners(state), row(slot(j))), slot(j) % side))
         step = F.array_position(ahead, F.lit(-1)).cast("int")  # from 1; 0 if none is free
         return F.when(state["claimed"] >= slots, state).otherwise(
             # a one-element list binds the step, so that it is looked up once
@@ -59,7 +68,7 @@ def lookup_table(spark: SparkSession, shards: list[str] | int = SHARDS, slots: i
                 F.transform(
                     F.array(step),
                     lambda s: F.struct(
-                        F.when(s > 0, put(owners(state), slot(at + s - 1), shard)).otherwise(owners(state)).alias("owners"),
+                        F.when(s > 0, claim(owners(state), slot(at + s - 1), shard)).otherwise(owners(state)).alias("owners"),
                         put(places(state), shard, at + F.when(s > 0, s).otherwise(F.lit(WINDOW))).alias("places"),
                         F.when(s > 0, state["claimed"] + 1).otherwise(state["claimed"]).alias("claimed"),
                     ),
@@ -68,10 +77,11 @@ def lookup_table(spark: SparkSession, shards: list[str] | int = SHARDS, slots: i
             )
         )
 
-    start = F.struct(F.array_repeat(F.lit(-1), slots).alias("owners"), F.array_repeat(F.lit(0), k).alias("places"), F.lit(0).alias("claimed"))
+    start = F.struct(F.array_repeat(F.array_repeat(F.lit(-1), side), side).alias("owners"), F.array_repeat(F.lit(0), k).alias("places"), F.lit(0).alias("claimed"))
     turns = F.sequence(F.lit(1), F.lit(slots + k * -(-slots // WINDOW)))
-    filled = orders.select(F.aggregate(turns, start, turn, owners).alias("owners"))
-    return filled.select(F.posexplode("owners").alias("slot", "shard"))
+    filled = orders.select(F.aggregate(turns, start, turn, lambda s: F.slice(F.flatten(owners(s)), 1, slots)).alias("owners"))
+    # posexplode() would add a filter on the list's size, and so fill the table twice
+    return filled.select(F.posexplode_outer("owners").alias("slot", "shard"))
 
 
 def place(docs: DataFrame, shards: list[str] | int = SHARDS, slots: int = SLOTS, key: Column | None = None) -> DataFrame:
