@@ -10,6 +10,9 @@ Jaccard coefficient of their shingles.  A large bucket is divided into blocks, e
 own.  Only a spanning forest of the verified links is kept; its components are the classes.  Of a class
 that occurs in two documents or more, the first paragraph (by doc_id, then place) stays, the others go.
 
+Paragraphs leave the edges of a copied passage, and short lines, in place.  Exact stretches (``stretches``), found over line
+ends, go as a whole besides.
+
 Cases: a null or empty text has no paragraphs; paragraphs under ``MIN_WORDS`` words are never compared; rows
 without ``doc_id`` take no part and stay as they are; rows that share a ``doc_id`` count as one document; repeats
 within one document only are left alone; an empty table gives no rows; other columns are ignored (``removed``
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
 from .graph import connected_components
+from .stretches import stretches, text_digests
 from .words import Words, mix, run_hashes, shingles, slices
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.98
@@ -217,9 +221,20 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     )
 
 
+def repeated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The columns of ``repeats``: its paragraphs, then whole stretches that an earlier document has too.  Of a stretch, the class
+    is named by its first place, and counts that place and the stretches that begin with it; ``digest`` is the whole text's."""
+    found = materialize(stretches(docs), "stretches")
+    sizes = found.groupBy("class_doc_id", "class_start").agg((F.count("*") + 1).alias("class_size"))
+    whole = found.join(sizes, ["class_doc_id", "class_start"]).select("doc_id", "start_word", "n_words", "class_doc_id", "class_start", "class_size", F.lit(True).alias("removed"), F.col("of").alias("digest"))
+    return repeats(docs, similarity, recall).unionByName(whole)
+
+
 def removed(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """``docs``, all rows and columns, without the texts' removed paragraphs."""
-    gone = repeats(docs, similarity, recall).where("removed").groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set(F.struct("start_word", "digest")).alias("gone_places"))
+    """``docs``, all rows and columns, without the texts' removed paragraphs and stretches."""
+    pieces = repeats(docs, similarity, recall).where("removed").select("doc_id", "start_word", "n_words", "digest")
+    pieces = pieces.unionByName(stretches(docs).select("doc_id", "start_word", "n_words", F.col("of").alias("digest")))
+    gone = pieces.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set(F.struct("start_word", "n_words", "digest")).alias("gone_places"))
     joined = docs.join(gone, F.col("doc_id") == F.col("gone_doc"), "left").drop("gone_doc")
     columns = docs.columns
 
@@ -227,25 +242,38 @@ def removed(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         for batch in batches:
             for some, texts in slices(batch):
                 lists, kept = some.column("gone_places").to_pylist(), some.column("text").to_pylist()
-                hit = [i for i, x in enumerate(lists) if x]
+                hit = [i for i, x in enumerate(lists) if x and kept[i]]
                 if hit:
-                    p = Paragraphs(texts.take(pa.array(hit)))
+                    words = Words(texts.take(pa.array(hit)))
+                    whole = text_digests(words, len(hit))
                     for r, i in enumerate(hit):
-                        kept[i] = _without(kept[i], p, r, {(x["start_word"], x["digest"]) for x in lists[i]})
+                        kept[i] = _without(kept[i], words, r, int(whole[r]), [(x["start_word"], x["n_words"], x["digest"]) for x in lists[i]])
                 yield pa.RecordBatch.from_arrays([pa.array(kept, type=pa.string()) if c == "text" else some.column(c) for c in columns], names=columns)
 
     return joined.select(*columns, "gone_places").mapInArrow(run, docs.schema)
 
 
-def _without(text: str, p: Paragraphs, row: int, gone: set[tuple[int, int]]) -> str:
-    """``text`` without those paragraphs of the row that are named by first word and digest."""
+def _without(text: str, words: Words, row: int, whole: int, gone: list[tuple[int, int, int]]) -> str:
+    """``text`` without those runs of the row's words whose digest, or the whole text's, is the one named."""
+    lo, hi = np.searchsorted(words.row, [row, row + 1])
+    own = words.hash[lo:hi]
+    inside = sorted((a, a + n, d) for a, n, d in gone if a + n <= len(own))
+    if not inside:
+        return text
+    found = run_hashes(own, np.array([a for a, _, _ in inside]), np.array([b for _, b, _ in inside])).view(np.int64)
+    cuts: list[list[int]] = []
+    for (a, b, d), of in zip(inside, found.tolist(), strict=True):
+        if d not in (whole, of):
+            continue
+        if cuts and a <= cuts[-1][1]:
+            cuts[-1][1] = max(b, cuts[-1][1])
+        else:
+            cuts.append([a, b])
     data, out, at = text.encode("utf-8"), [], 0
-    lo, hi = np.searchsorted(p.row, [row, row + 1])
-    for i in range(lo, hi):
-        if (int(p.start[i]), int(p.digest[i])) in gone:
-            out.append(data[at : p.words.begin[p.begin[i]]])
-            at = p.words.end[p.stop[i] - 1]
-            if at < len(data) and data[at : at + 1] in (b" ", b"\n") and not (out[-1] and out[-1][-1:] not in (b" ", b"\n")):
-                at += 1  # not two separators in place of one
+    for a, b in cuts:
+        out.append(data[at : words.begin[lo + a]])
+        at = words.end[lo + b - 1]
+        if at < len(data) and data[at : at + 1] in (b" ", b"\n") and not (out[-1] and out[-1][-1:] not in (b" ", b"\n")):
+            at += 1  # not two separators in place of one
     out.append(data[at:])
     return b"".join(out).decode("utf-8")

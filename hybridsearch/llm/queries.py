@@ -24,7 +24,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(table(spark, sf_dir, "documents")).drop("digest")
+    return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

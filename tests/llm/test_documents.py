@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from hybridsearch.llm import decontaminate, graph, license_scan, outliers, paragraphs, quality, sharding, simhash
+from hybridsearch.llm import decontaminate, graph, license_scan, outliers, paragraphs, quality, sharding, simhash, stretches
 
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
@@ -194,6 +194,43 @@ def test_large_buckets_are_divided_without_loss(spark, monkeypatch):
     assert Counter((r.doc_id, r.start_word, r.class_doc_id, r.class_start, r.removed) for r in out) == plain_repeats(rows)
 
 
+def plain_stretches(rows, least):
+    """(doc_id, word) of every word in a run of ``least`` words that an earlier document has."""
+    first, want = {}, set()
+    for doc, text in sorted((r[0], r[1]) for r in rows):
+        w = lower(text).split()
+        for i in range(len(w) - least + 1):
+            if first.setdefault(tuple(w[i : i + least]), doc) != doc:
+                want |= {(doc, k) for k in range(i, i + least)}
+    return want
+
+
+@pytest.mark.parametrize("large", [2, 2000])
+def test_whole_passages_are_repeated(spark, monkeypatch, large):
+    monkeypatch.setattr(stretches, "LARGE", large)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = []
+    for k in range(60):
+        passage = prose(51 + k % 40, 9000 + k)
+        shapes = [passage, wrap(passage, 5), wrap(passage, 7) if k % 2 else passage.upper()]
+        rows += [(3 * k + i, prose(30 + k, 5000 + 9 * k + i) + "\n" * (k % 2) + " " + p + " " + prose(40, 7000 + 9 * k + i)) for i, p in enumerate(shapes)]
+    # a stretch that two documents share beyond what the first one has of it, and repeats within one text
+    a, b, c = prose(60, 1), prose(60, 2), prose(30, 3)
+    rows += [(900, a + " " + c), (901, c + " " + a + " " + b), (902, prose(9, 4) + " " + a + " " + b), (903, b + " " + b), (904, "same " * 200), (905, "same " * 120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain_stretches(rows, stretches.LEAST)
+    assert {(3 * k + i, w) for k in range(60) for i in (1, 2) for w in range(30 + k, 81 + k + k % 40)} <= want
+    found = stretches.stretches(df).collect()
+    assert {(r.doc_id, k) for r in found for k in range(r.start_word, r.start_word + r.n_words)} == want
+    text = {d: lower(t).split() for d, t in rows}
+    for r in found:
+        assert r.class_doc_id < r.doc_id and text[r.doc_id][r.start_word :][: r.n_words] == text[r.class_doc_id][r.class_start :][: r.n_words]
+    listed = {(r.doc_id, k) for r in paragraphs.repeated(df).where("removed").collect() for k in range(r.start_word, r.start_word + r.n_words)}
+    assert want <= listed
+    cut = {r.doc_id: r.text for r in paragraphs.removed(df).collect()}
+    assert all(lower(cut[d]).split() == [x for k, x in enumerate(lower(t).split()) if (d, k) not in listed] for d, t in rows)
+
+
 def test_bands_reach_the_recall():
     n = paragraphs.tune_bands(0.8, 0.98, 2)
     assert 1 - (1 - 0.8**2) ** n >= 0.98 > 1 - (1 - 0.8**2) ** (n - 1)
