@@ -269,6 +269,21 @@ def test_leaks(spark, table):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_with_one_word_changed_anywhere(spark):
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(5, 31)}
+    docs, want = [], set()
+    for n, w in items.items():
+        for k in range(n):
+            doc = 100 * n + k
+            docs.append((doc, prose(40, doc) + " " + " ".join([*w[:k], "changed", *w[k + 1 :]]) + " " + prose(40, doc + 7)))
+            if sum(not i <= k < i + 5 for i in range(n - 4)) >= 0.8 * (n - 4):
+                want.add((doc, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert (2017, 20) in want and {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 # licences
 
 
