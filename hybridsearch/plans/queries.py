@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import relevance as R
@@ -16,6 +16,8 @@ from . import views
 
 QUERIES = {}
 MAX_RANK = 10
+#: Bytes of texts, with a thousand a row for the rest, beyond which a JSON file of chunks takes no more rows.
+FILE_BYTES = 8 << 20
 
 
 def _query(f):
@@ -54,12 +56,14 @@ def read_chunks(spark, sf):
     """Raw chunks written as one JSON array a file, read back."""
     path = files.shared_path(spark, "chunks-json")
     raw = views.chunks_raw(spark, sf).withColumnRenamed("text", "content")
-    packed = raw.groupBy(F.pmod("seq", F.lit(16)).alias("file")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "standard_id", "title", "content", "page_number", "category", "source")))).alias("value"))
-    packed.repartition(16, "file").select(F.when(F.col("file") % 2 == 0, F.col("value")).otherwise(F.concat(F.lit('{"chunks":'), "value", F.lit("}"))).alias("value")).write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path)  # a line is a file's content here
-    one = files.shared_path(spark, "chunks-files")
-    lines.withColumn("n", F.xxhash64("value")).write.partitionBy("n").text(one)
-    return files.read_chunks(spark, f"{one}/*/*.txt").select("standard_id", "title", F.length("text").cast("bigint").alias("n_chars"), "page_number", "category", "source")
+    # a file takes a block of a thousand ids, divided where its rows are long or many
+    block, order = F.floor(F.col("seq") / 1000), Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint") + F.lit(1000)
+    placed = raw.withColumn("file", block).withColumn("part", F.floor(F.coalesce(F.sum(size).over(order), F.lit(0)) / FILE_BYTES))
+    packed = placed.groupBy("file", "part").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "standard_id", "title", "content", "page_number", "category", "source")))).alias("value"))
+    boxed = F.when((F.col("file") + F.col("part")) % 2 == 0, F.col("value")).otherwise(F.concat(F.lit('{"chunks":'), "value", F.lit("}")))
+    packed.select(boxed.alias("value"), "file", "part").write.option("lineSep", "\n").partitionBy("file", "part").text(path)
+    return files.read_chunks(spark, f"{path}/*/*/*.txt").select("standard_id", "title", F.length("text").cast("bigint").alias("n_chars"), "page_number", "category", "source")
 
 
 @_query

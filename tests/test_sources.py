@@ -81,3 +81,17 @@ def test_nothing_else_imports_the_training_data_operators():
 def test_entry_point_works_without_them(tmp_path):
     code = "import sys\nclass No:\n  def find_spec(self, name, *a):\n    if name.startswith(('hybridsearch.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert 'retrieve' in e.queries() and 'pipeline' not in e.queries() and set(e.oracle_sql()) == set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+def test_json_files_of_chunks_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from hybridsearch.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_BYTES", 200_000, raising=False)
+    rows = [(i, f"text {i} " * 10, "en", "s") for i in range(3000)] + [(7, "hot " * 200, "en", "s")] * 2000 + [(8, None, "en", "s"), (9, "long " * 100_000, "en", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    paths, read = [], queries.files.read_chunks
+    monkeypatch.setattr(queries.files, "read_chunks", lambda spark, path: paths.append(path) or read(spark, path))
+    out = queries.read_chunks(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and sum(r.n_chars for r in out) == sum(len(t or "") for _, t, _, _ in rows)
+    sizes = [len(r.value) for r in spark.read.text(paths[0], wholetext=True).collect()]
+    assert len(sizes) > 16 and sorted(sizes)[-2] < 300_000  # but for the file of the one long text
