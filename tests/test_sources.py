@@ -1,10 +1,13 @@
 """Readers, writers, the index on disk, streaming, and what the package is made of."""
 
 import json
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from hybridsearch.operators import corpus, dictionary, index
@@ -78,9 +81,24 @@ def test_nothing_else_imports_the_training_data_operators():
     assert not [p for p in own if "llm" in p.read_text()]
 
 
-def test_entry_point_works_without_them(tmp_path):
-    code = "import sys\nclass No:\n  def find_spec(self, name, *a):\n    if name.startswith(('hybridsearch.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert 'retrieve' in e.queries() and 'pipeline' not in e.queries() and set(e.oracle_sql()) == set(e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+@pytest.mark.parametrize("gone", [["hybridsearch/llm", "tests/llm"], ["hybridsearch/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_point_works_without_them(tmp_path, gone):
+    copy = tmp_path / "copy"
+    shutil.copytree(REPO, copy, ignore=lambda d, names: [n for n in names if n.startswith(".") or str((Path(d) / n).relative_to(REPO)) in gone])
+    assert not (copy / "hybridsearch" / "llm").exists() and (copy / "hybridsearch" / "plans").exists()
+    code = "import __spark_entry__ as e, bench\nassert 'retrieve' in e.queries() and 'pipeline' not in e.queries() and set(e.oracle_sql()) == set(e.queries())"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": ""})
+    listed = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    assert listed.returncode == 0, listed.stdout
+
+
+def test_entry_point_does_not_hide_other_missing_modules(tmp_path):
+    for name in ("hybridsearch", "__spark_entry__.py"):
+        (shutil.copytree if (REPO / name).is_dir() else shutil.copy)(REPO / name, tmp_path / name)
+    (tmp_path / "hybridsearch" / "llm").mkdir(exist_ok=True)
+    (tmp_path / "hybridsearch" / "llm" / "queries.py").write_text("import no_such_module\n")
+    run = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    assert run.returncode and "no_such_module" in run.stderr
 
 
 def test_json_files_of_chunks_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
