@@ -1,16 +1,17 @@
 """Token counts by a digest cache.
 
 The cache is a Parquet folder ``content_digest, tokenizer_digest, n_tokens`` that is only appended to.
-Texts are normalised (runs of blanks, tabs and line ends become one blank, which the tokenizer drops
-anyway), digested, and joined to the cache; only distinct misses are encoded.
+Texts are normalised as far as the tokenizer itself does (where its normalizer makes runs of white space one blank, they become
+one blank; otherwise a text is taken as it is), digested, and joined to the cache; only distinct misses are encoded.
 
-Cases: a null text is an empty one (0 bytes, 0 tokens); equal texts share one cache row; rows with equal
-or null ``doc_id`` each keep their own result row; an empty table gives no rows; other columns are ignored.
+Cases: a null text is an empty one (0 bytes, 0 tokens); a text of any length is counted whole; equal texts share one cache
+row; rows with equal or null ``doc_id`` each keep their own result row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,23 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import map_batches, new_path, texts_of
-from .pieces import Library, PieceEncoder
+from .common import materialize, new_path
+from .pieces import BATCH_BYTES, Batches, Library
+from .words import slices
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
 
 
 @lru_cache(maxsize=4)
-def _counter(tokenizer_path: str) -> PieceEncoder:
-    """Token counts of pieces by the library the file belongs to; one per worker."""
+def _counter(tokenizer_path: str) -> Batches:
+    """Token counts by the library the file belongs to; one per worker."""
     if tokenizer_path.endswith(".model"):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path)
         # its pieces may span words: whole texts only
-        return PieceEncoder(lambda text: len(model.encode(text)), (), cut=False)
+        return Batches(lambda pieces: ([], []), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path).encode, cut=False)
     library = Library(tokenizer_path)
-    return PieceEncoder(lambda piece: len(library.ids(piece)), library.special, library.cut)
+    return Batches(library.pieces, library.whole, library.special, library.cut)
 
 
 def tokenizer_digest(tokenizer_path: str) -> str:
@@ -42,9 +43,9 @@ def tokenizer_digest(tokenizer_path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def _digests(docs: DataFrame, folds_space: bool) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = F.regexp_replace(text, r"[ \t\r\n]+", " ")
+    norm = F.regexp_replace(text, r"[ \t\r\n]+", " ") if folds_space else text
     return docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.sha2(norm.cast("binary"), 256).alias("content_digest"))
 
 
@@ -63,19 +64,20 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, cache_
     """
     path = cache_path or new_path(docs.sparkSession, "token-counts")
     version = tokenizer_digest(tokenizer_path)
-    rows = _digests(docs)
+    rows = _digests(docs, tokenizer_path.endswith(".json") and Library(tokenizer_path).folds_space)
     # partial aggregation drops copies before the shuffle, however many one text has
     distinct = rows.groupBy("content_digest").agg(F.first("text").alias("text"))
     known = _cached(docs, path, version)
     misses = distinct if known is None else distinct.join(known, "content_digest", "left_anti")
 
-    def count(batch: pa.RecordBatch) -> dict:
-        count_pieces = _counter(tokenizer_path)
-        n = [sum(count_pieces(text)) for text in texts_of(batch)]
-        return {"content_digest": batch.column("content_digest"), "tokenizer_digest": pa.array([version] * len(n)), "n_tokens": pa.array(n, type=pa.int64())}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, texts in slices(batch, most=BATCH_BYTES):
+                n = _counter(tokenizer_path).sizes(texts)
+                yield pa.RecordBatch.from_pydict({"content_digest": some.column("content_digest"), "tokenizer_digest": pa.array([version] * len(n)), "n_tokens": pa.array(n)})
 
-    map_batches(misses, count, CACHE_SCHEMA).write.mode("append").parquet(path)
-    # two writers may have counted the same text: one row each
-    counts = _cached(docs, path, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(path)
+    # two writers may have counted the same text: one row each; as a table, so that Spark can divide the rows of a text with many copies
+    counts = materialize(_cached(docs, path, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     narrow = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "content_digest")
     return narrow.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

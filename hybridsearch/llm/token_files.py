@@ -13,7 +13,6 @@ reads back as no rows; further columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,17 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, new_path, texts_of
-from .pieces import Library, PieceEncoder
+from .common import map_batches, new_path
+from .pieces import BATCH_BYTES, Batches, Library
+from .words import slices
 
 FILE_SCHEMA = "doc_id bigint, part int, seq bigint, n_tokens bigint, before bigint, tokens array<int>"
 
 
 @lru_cache(maxsize=4)
-def library_encoder(tokenizer_path: str) -> PieceEncoder:
-    """Ids as 32-bit integers' bytes, by the tokenizers library; one per worker."""
+def library_encoder(tokenizer_path: str) -> Batches:
+    """Ids by the tokenizers library; one per worker."""
     library = Library(tokenizer_path)
-    return PieceEncoder(lambda piece: array("i", library.ids(piece)).tobytes(), library.special, library.cut)
+    return Batches(library.pieces, library.whole, library.special, library.cut)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
@@ -44,25 +44,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    end = np.array([end_id], dtype="<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                encode = library_encoder(tokenizer_path)
-                blobs = [b"".join(encode(text)) + end for text in texts_of(some)]
-                n = np.fromiter((len(b) // 4 for b in blobs), dtype=np.int64, count=len(blobs))
+            for some, texts in slices(batch, most=BATCH_BYTES):
+                first, own = library_encoder(tokenizer_path).ids(texts)
+                n = np.diff(first) + 1
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(blobs))])
+                ids = np.full(offsets[-1], end_id, dtype=np.int32)
+                ids[np.arange(len(own)) + np.repeat(np.arange(len(n)), n - 1)] = own
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": some.column("doc_id"),
                     "part": pa.array(np.full(len(n), part, dtype=np.int32)),
                     "seq": pa.array(seq + np.arange(len(n), dtype=np.int64)),
                     "n_tokens": pa.array(n),
                     "before": pa.array(before + offsets[:-1]),
-                    "tokens": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids),
+                    "tokens": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                 })
                 seq, before = seq + len(n), before + int(offsets[-1])
 

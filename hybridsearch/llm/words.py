@@ -85,13 +85,13 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Portions of a batch of about SLICE_BYTES, and their texts without nulls."""
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Portions of a batch of about ``most`` bytes of text, and their texts without nulls."""
     texts = batch.column(name).cast(pa.large_string()).fill_null("")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < batch.num_rows:
         base = sizes[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(sizes, base + most, side="right")))
         yield batch.slice(lo, hi - lo), texts.slice(lo, hi - lo)
         lo = hi

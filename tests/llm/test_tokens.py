@@ -1,10 +1,13 @@
 """Token operators against the tokenizers library."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -14,7 +17,7 @@ from hybridsearch.llm import bpe, token_counts, token_files
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " ", "\n", "a", "Hello, world. It's 1,234 things!!\nNext line", "  two  blanks ", "tab\there\r\nend", "é́ ñandú Straße ÉÇOLE", "日本語 テスト", "🙂👍🏽 ok",
-    "<|endoftext|>", "a <|endoftext|> b<|startoftext|>", "<|ENDOFTEXT|>", "x" * 3000, "ab" * 900 + " -" + "-" * 400, "a b c　d\x1ce\x85f", "...,,,... word., ,x", "don't we'll 'tis I'LL", "K K İ ΑΣ Σ",
+    "<|endoftext|>", "a <|endoftext|> b<|startoftext|>", "<|ENDOFTEXT|>", "x" * 3000, "ab" * 900 + " -" + "-" * 400, "Dİ, sonra Dİ. İ", "क़, क़. a", "é, È. ñ÷, ×. ß.", "word's, don't'. a'... b!?", "a b c　d\x1ce\x85f", "...,,,... word., ,x", "don't we'll 'tis I'LL", "K K İ ΑΣ Σ",
     "word, word. word,word\nword, word.", "<", "null\x00byte",
 ]
 words = st.text(alphabet=st.sampled_from(list("abthe'sléñ ,.\n\t09!日 ")), max_size=60)
@@ -32,13 +35,71 @@ def test_encoder_equals_library():
     assert ["".join(coder.decode(i)) for i in got] == [tok.decode(i, skip_special_tokens=False) for i in got] == texts
 
 
-@settings(max_examples=200, deadline=None)
+def wide(*texts):
+    return pa.array(texts, type=pa.large_string())
+
+
+@settings(max_examples=400, deadline=None)
 @given(words)
 def test_encoders_on_random_text(text):
     tok, word = _library(BYTE), _library(WORD)
-    assert next(bpe.load(BYTE).encode_batch([text])) == tok.encode(text, add_special_tokens=False).ids
-    assert list(np.frombuffer(b"".join(token_files.library_encoder(BYTE)(text)), "<i4")) == tok.encode(text, add_special_tokens=False).ids
-    assert sum(token_counts._counter(WORD)(text)) == len(word.encode(text, add_special_tokens=False).ids)
+    want = tok.encode(text, add_special_tokens=False).ids
+    assert next(bpe.load(BYTE).encode_batch([text])) == want
+    assert token_files.library_encoder(BYTE).ids(wide(text))[1].tolist() == want
+    assert token_counts._counter(WORD).sizes(wide(text)).tolist() == [len(word.encode(text, add_special_tokens=False).ids)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab'st  \n\n9!<|é日", "<|endoftext|>", "<|end", "'ll", "aaaaaaaa", "        "]), max_size=50).map("".join), st.integers(1, 9))
+def test_a_text_in_portions_has_the_same_ids(text, portion):
+    coder = bpe.load(BYTE)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe, "OPEN", 4)
+        got = [i for ids in coder.stream(text[lo : lo + portion] for lo in range(0, len(text), portion)) for i in ids.tolist()]
+    assert got == _library(BYTE).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", ["word ", "x", " ", "\n", "日", "<", "9", "a,b.", "two  blanks\t", "<|endoftext|>"])
+def test_what_is_held_does_not_grow_with_the_text(unit):
+    coder = bpe.load(BYTE)
+    state, most, n = bpe.TextStream(coder), 0, 200_000 // len(unit)
+    text = unit * (3000 // len(unit))
+    tracemalloc.start()
+    for k in range(n // (3000 // len(unit))):
+        for ids in state.push(text):
+            assert len(ids) <= 1 << 18
+        most = max(most, state.held())
+        if k == 2:
+            early = tracemalloc.get_traced_memory()[0]
+    late = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    list(state.push("", last=True))
+    assert most <= bpe.OPEN + bpe.WINDOW + coder.merges.lookahead + coder.merges.longest + 64 and late - early < 1 << 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=12), st.text(alphabet="abc", min_size=1, max_size=60), st.integers(1, 7))
+def test_lookahead_settles_tokens(picks, text, portion):
+    """Random merge lists: what the transducer emits early is what merging everything gives."""
+    tokens, rules = [b"a", b"b", b"c"], []
+    for i, j in picks:
+        left, right = tokens[i % len(tokens)], tokens[j % len(tokens)]
+        if left + right not in tokens:
+            rules.append((left, right))
+            tokens.append(left + right)
+    merges = bpe.Merges.of(rules)
+    run = bpe.Transducer(merges, window=1)
+    data = text.encode()
+    got = [t for lo in range(0, len(data), portion) for t in run.push(data[lo : lo + portion])] + list(run.close())
+    plain = [bytes([x]) for x in data]
+    for rule in rules:  # lowest rank first, leftmost first
+        i = 0
+        while i < len(plain) - 1:
+            if (plain[i], plain[i + 1]) == rule:
+                plain[i : i + 2] = [plain[i] + plain[i + 1]]
+            else:
+                i += 1
+    assert [merges.bytes_of[t] for t in got] == plain
 
 
 _known = {}
@@ -108,3 +169,26 @@ def test_token_counts_use_and_extend_the_cache(spark, tmp_path):
     kept = spark.read.parquet(cache)
     assert kept.count() == kept.select("content_digest").distinct().count()
     assert token_counts.token_counts(docs.limit(0), WORD).count() == 0
+
+
+def test_counts_of_a_sentencepiece_model(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["a b", "a  b", "a\nb", "a \tb ", "", None, *TEXTS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()} == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_long_texts(spark):
+    """A hundred thousand characters and more: words, one word, one run of blanks, and characters without any blank."""
+    texts = ["Words of a long text, " * 10_000, "x" * 100_000, " " * 100_000 + "a", "日本語テスト、" * 12_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [_library(BYTE).encode(t, add_special_tokens=False).ids for t in texts]
+    got = {r.doc_id: r for r in bpe.round_trip(docs, BYTE).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids[i]), hashlib.sha256(",".join(map(str, ids[i])).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert [r.n_tokens for r in sorted(token_files.token_file_digests(docs, BYTE).collect())] == [len(i) + 1 for i in ids]
+    want = [len(_library(WORD).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [r.n_tokens for r in sorted(token_counts.token_counts(docs, WORD).collect())] == want
