@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours to its smallest one (large star), then every node's
     smaller neighbours and itself to the smallest (small star), until nothing changes.  Edges never
-    multiply: each round keeps at most as many as it got.  Every round is a table in the shared folder.
+    multiply: each round keeps at most as many as it got.  Every round is a table in the shared folder, and so are the
+    smallest neighbours, so that Spark can divide the links of a node that has very many among tasks.
     Null ends, loops and repeated edges are ignored; an empty table gives no rows.
     """
     links = materialize(
@@ -24,10 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least-neighbours")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # u > v in every row of large
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large-stars")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = materialize(small.where("u <> v").distinct(), "links")
         # stable once no node has two smaller neighbours and no root is below another node

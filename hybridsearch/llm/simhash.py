@@ -3,22 +3,32 @@
 A bounded sample of distinct fingerprints fixes a vantage-point tree: each node has a vantage point and
 a radius, and divides the space into near (distance <= radius) and far.  Every fingerprint goes to its
 leaf ("shard"); one that lies within the search distance inside a node's boundary also goes down the far
-side, so that by the triangle inequality any two fingerprints within the distance meet in a shard.  Shards
-above a size are divided further in the task by the same rule, on vantage points of their own.
+side, so that by the triangle inequality any two fingerprints within the distance meet in a shard.
 
-Within a leaf links are found exactly, and only a spanning forest of them is passed on, so a group of k
+The sample is small, so shards differ in size.  Those of more than ``MOST`` fingerprints are divided again, all of them
+in one pass over their rows, by the same rule: a vantage point of the shard's own, and the median of its exact
+distances, which are counted.  This goes on until none is larger; a shard that no boundary thins (a ball of
+fingerprints that differ in a few bits) is compared in blocks, each pair of blocks a task.
+
+Within a shard links are found exactly, and only a spanning forest of them is passed on, so a group of k
 copies costs k rows, not k * k.  Components of the forest's links are those of all links.
+
+Cases: null and empty texts have fingerprint zero and are linked like any other; a text of any length counts whole; rows with
+equal ``doc_id`` each keep a row, and may be in different groups; a null ``doc_id`` links too but names a group only if nothing
+else is in it (then null); repeated rows are one point; an empty table gives no rows; other columns, whatever their names,
+are ignored (``representatives`` passes them on).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, texts_of
@@ -26,11 +36,15 @@ from .graph import connected_components
 
 #: Fingerprints the driver gets to place vantage points; the tree's shape, not its results, depends on it.
 SAMPLE = 20_000
-#: Aim for so many fingerprints in a shard, and at most so many shards (the tree is sent to every task).
-SHARD, MAX_DEPTH = 6_000, 12
+#: Aim for so many fingerprints in a shard, and divide those with more than MOST again.
+SHARD, MOST = 6_000, 12_000
+#: A leaf of the tree that is sent to every task has so many sample points at least.
+LEAF_SAMPLE = 16
 #: A task compares so many fingerprints with one another directly.
 LEAF = 1_500
 SEED = 42
+#: Rounds of division that no table needs; a guard against a defect, not a limit on results.
+MAX_TURNS = 200
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -108,17 +122,35 @@ class Tree:
             todo += [(2 * k + 1, own[near]), (2 * k + 2, own[far])]
 
 
-def _forest(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of a spanning forest of ``points`` at ``reach``: in small leaves of a local vantage-point tree."""
-    rng = np.random.default_rng(1)
-    root = np.arange(len(points))
+class _Union:
+    """Groups of 0..n-1; a group's root is its smallest member."""
 
-    def find(i: int) -> int:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+
+    def links(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each point that is no root, and its root."""
+        roots = np.array([self.find(i) for i in range(len(points))], dtype=np.int64)
+        linked = roots != np.arange(len(points))
+        return points[linked], points[roots[linked]]
+
+
+def _forest(points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of ``points`` at ``reach``: in small leaves of a local vantage-point tree."""
+    rng, groups = np.random.default_rng(1), _Union(len(points))
     todo = [np.arange(len(points))]
     while todo:
         own = todo.pop()
@@ -131,20 +163,62 @@ def _forest(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.nda
                 continue
         values = points[own]
         for lo in range(0, len(own), 256):
-            rows = values[lo : lo + 256, None]
-            close_i, close_j = np.nonzero(_distance(rows, values[None, lo:]) <= reach)
-            for i, j in zip((close_i + lo).tolist(), (close_j + lo).tolist()):
-                if i < j and (a := find(own[i])) != (b := find(own[j])):
-                    root[max(a, b)] = min(a, b)
-    roots = np.array([find(i) for i in range(len(points))])
-    linked = roots != np.arange(len(points))
-    return points[linked], points[roots[linked]]
+            i, j = np.nonzero(_distance(values[lo : lo + 256, None], values[None, lo:]) <= reach)
+            some = i < j
+            groups.add(own[lo + i[some]], own[lo + j[some]])
+    return groups.links(points)
+
+
+def _forest_between(a: np.ndarray, b: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the pairs of one of ``a`` and one of ``b``."""
+    groups = _Union(len(a) + len(b))
+    for lo in range(0, len(a), 256):
+        i, j = np.nonzero(_distance(a[lo : lo + 256, None], b[None, :]) <= reach)
+        groups.add(lo + i, len(a) + j)
+    return groups.links(np.concatenate([a, b]))
+
+
+def _divided(shards: DataFrame, reach: int) -> DataFrame:
+    """``shard, i, j, own, fp`` of ``shards(shard, fp)``: no group of (shard, i, j) has more than about MOST fingerprints.
+
+    i = j = 0 but for shards that cannot be thinned: there (i, j) are pairs of blocks, and a fingerprint is in all pairs with its ``own`` block.
+    """
+    small: list[DataFrame] = []
+    rest = shards
+    for turn in range(MAX_TURNS):
+        sizes = rest.groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("vantage"))
+        sizes = materialize(sizes, "shard-sizes")
+        large = sizes.where(F.col("n") > MOST)
+        whole = rest.join(sizes.where(F.col("n") <= MOST).select("shard"), "shard", "left_semi")
+        small.append(whole.select("shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp"))
+        if large.isEmpty():
+            break
+        apart = rest.join(large, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
+        apart = materialize(apart, "large-shards")
+        # at most 65 rows a shard
+        counts = apart.groupBy("shard", "n", "d").agg(F.count("*").alias("k")).withColumn("up_to", F.sum("k").over(Window.partitionBy("shard").orderBy("d")))
+        radius = counts.where(2 * F.col("up_to") >= F.col("n")).groupBy("shard").agg(F.min("d").alias("radius"))
+        sides = counts.join(radius, "shard").groupBy("shard", "radius").agg(
+            F.sum(F.when(F.col("d") <= F.col("radius"), F.col("k"))).alias("near"), F.coalesce(F.sum(F.when(F.col("d") > F.col("radius") - reach, F.col("k"))), F.lit(0)).alias("far"), F.first("n").alias("of")
+        )
+        plan = materialize(sides.select("shard", "radius", (F.greatest("near", "far") < 0.9 * F.col("of")).alias("thins")), "shard-radii")
+        placed = apart.join(plan, "shard")
+        near, far = F.col("d") <= F.col("radius"), F.col("d") > F.col("radius") - reach
+        into = F.filter(F.array(F.when(near, F.xxhash64("shard", F.lit(turn), F.lit(0))), F.when(far, F.xxhash64("shard", F.lit(turn), F.lit(1)))), lambda x: x.isNotNull())
+        rest = placed.where("thins").select(F.explode(into).alias("shard"), "fp")
+        blocks = F.ceil(F.col("n") / (MOST // 2)).cast("int")
+        own = F.pmod(F.xxhash64("fp", F.lit(-1)), blocks).cast("int")
+        paired = placed.where("not thins").select("shard", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        small.append(paired.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp"))
+    else:
+        raise RuntimeError("shards were not divided")
+    return reduce(DataFrame.unionByName, small)
 
 
 def links(distinct: DataFrame, reach: int = 2) -> DataFrame:
     """``a, b``: a spanning forest, shard by shard, of all pairs of ``distinct(fp)`` within ``reach`` bits."""
     n = distinct.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD)))))
+    depth = max(0, int(np.ceil(np.log2(max(1, min(n / SHARD, SAMPLE / LEAF_SAMPLE))))))
     share = min(1.0, 2 * SAMPLE / max(n, 1))
     sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE)
     points = np.sort(np.array([r.fp for r in sample.collect()], dtype=np.int64)).view(np.uint64)
@@ -153,37 +227,60 @@ def links(distinct: DataFrame, reach: int = 2) -> DataFrame:
     def place(batch: pa.RecordBatch) -> dict | None:
         fp = batch.column("fp").to_numpy()
         found = list(tree.shards(fp.view(np.uint64)))
-        return {"shard": pa.array(np.concatenate([np.full(len(own), k, dtype=np.int32) for k, own in found])), "fp": pa.array(np.concatenate([fp[own] for _, own in found]))}
-
-    def join(shard: pd.DataFrame) -> pd.DataFrame:
-        a, b = _forest(np.sort(shard["fp"].to_numpy()).view(np.uint64), reach)
+        return {"shard": pa.array(np.concatenate([np.full(len(own), k, dtype=np.int64) for k, own in found])), "fp": pa.array(np.concatenate([fp[own] for _, own in found]))}
+
+    def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        points, (_, i, j) = np.sort(group["fp"].to_numpy()).view(np.uint64), key
+        if i == j:
+            a, b = _forest(points, reach)
+        else:
+            # links within either block are another task's
+            first = group["own"].to_numpy() == i
+            a, b = _forest_between(group["fp"].to_numpy()[first].view(np.uint64), group["fp"].to_numpy()[~first].view(np.uint64), reach)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return map_batches(distinct, place, "shard int, fp bigint").groupBy("shard").applyInPandas(join, "a bigint, b bigint")
+    shards = materialize(map_batches(distinct, place, "shard bigint, fp bigint"), "shards")
+    return _divided(shards, reach).groupBy("shard", "i", "j").applyInPandas(join, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``.
-
-    Cases: null or empty texts have fingerprint zero and are linked like any other; rows with equal ``doc_id``
-    each keep a row; a null ``doc_id`` links too but never names a component, unless nothing else is in it (then
-    null); an empty table gives no rows; other columns are ignored.
-    """
-    rows = materialize(fingerprints(docs, width), "fingerprints")
+def _grouped(rows: DataFrame, reach: int) -> DataFrame:
+    """``fp, component_id``: the least ``doc_id`` of each fingerprint's group; ``rows(doc_id, fp)``."""
     least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     groups = connected_components(links(least.select("fp"), reach))
     named = least.join(groups, least.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # of each group also the fingerprint that its first row has: the row with the least doc_id, and of those the least fingerprint
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "fp"))["fp"].alias("kept_fp"))
+    return materialize(named.join(ids, "root").select("fp", "component_id", "kept_fp"), "fingerprint-groups")
+
+
+def near_duplicates(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``."""
+    rows = materialize(fingerprints(docs, width), "fingerprints")
+    # tables on both sides, so that Spark can divide the rows of a fingerprint that very many have
+    return rows.join(_grouped(rows, reach), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest ``doc_id`` stays.
+    """The rows of ``docs``, all columns, without near duplicates: of each group the row with the smallest ``doc_id`` stays, of
+    several rows with that ``doc_id`` one with the smallest fingerprint.
 
-    Of rows that share that ``doc_id`` one stays; rows without ``doc_id`` cannot be told apart and all stay.
+    Rows without ``doc_id`` all stay, since they cannot be told apart.
     """
-    groups = near_duplicates(docs, reach, width)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = materialize(fingerprints(docs, width), "fingerprints")
+    of_row = rows.join(_grouped(rows, reach), "fp").where("doc_id is not null").select("doc_id", F.when((F.col("doc_id") == F.col("component_id")) & (F.col("fp") == F.col("kept_fp")), F.col("fp")).alias("kept_fp"))
+    kept = of_row.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"), F.collect_set("kept_fp").alias("kept_fps")).where(F.size("kept_fps") > 0)
+    kept = materialize(kept, "kept-rows")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    single = own.join(kept.where("n = 1"), own.key == kept.kept_id, "left_semi")
+    # where a doc_id is repeated, a row is told by its own fingerprint, and one of those that agree in both stays
+    several = own.join(kept.where("n > 1"), own.key == kept.kept_id).select("key", "row", "kept_fps", _fingerprint_of(width)(F.col("row.text")).alias("fp"))
+    first = several.where(F.array_contains("kept_fps", F.col("fp"))).groupBy("key", "fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return single.select("row.*").unionByName(first.select("row.*")).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _fingerprint_of(width: int):
+    @F.pandas_udf("bigint")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or "", width) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return of

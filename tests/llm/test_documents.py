@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hybridsearch.llm import decontaminate, graph, license_scan, outliers, paragraphs, quality, sharding, simhash, stretches
 
@@ -115,20 +116,65 @@ def components(n, links):
     return [find(i) for i in range(n)]
 
 
+def plain_groups(rows):
+    """(fingerprint, least doc_id of the group) by row."""
+    fp = [plain_fingerprint(r[1]) for r in rows]
+    root = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2])
+    least = {c: min((rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None), default=None) for c in set(root)}
+    return [(fp[i], least[root[i]], root[i]) for i in range(len(rows))]
+
+
+def plain_representatives(rows):
+    """(doc_id, fingerprint) of the rows that stay."""
+    found, best = plain_groups(rows), {}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    for r, (fp, _, root) in zip(rows, found, strict=True):
+        if r[0] is not None:
+            best[root] = min(best.get(root, (r[0], signed(fp))), (r[0], signed(fp)))
+    return Counter((d, fp % 2**64) for d, fp in best.values()) + Counter((None, plain_fingerprint(r[1])) for r in rows if r[0] is None)
+
+
 def test_near_duplicates(spark, table, monkeypatch):
     df, rows = table
     monkeypatch.setattr(simhash, "SHARD", 16)  # several shards
     monkeypatch.setattr(simhash, "LEAF", 4)
-    fp = [plain_fingerprint(r[1]) for r in rows]
-    root = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2])
-    least = {c: min((rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None), default=None) for c in set(root)}
-    want = Counter((rows[i][0], f"{fp[i]:016x}", least[root[i]]) for i in range(len(rows)))
+    want = Counter((r[0], f"{fp:016x}", least) for r, (fp, least, _) in zip(rows, plain_groups(rows), strict=True))
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()) == want
-    kept = simhash.representatives(df.drop("component_id"))
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({v for v in least.values() if v is not None})
-    assert sum(i is None for i in ids) == sum(r[0] is None for r in rows)
-    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, plain_fingerprint(r.text)) for r in kept.collect()) == plain_representatives(rows)
+    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
+
+
+def test_no_unique_text_is_lost_where_ids_repeat(spark):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    for rows in ([(1, a), (5, a), (5, b), (7, b)], [(5, a), (5, b)], [(5, a), (5, a), (5, b + " x"), (5, b), (6, c), (None, a), (None, a)]):
+        kept = simhash.representatives(spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id int, text string, kept_id string"))
+        got = Counter((r.doc_id, plain_fingerprint(r.text)) for r in kept.collect())
+        assert got == plain_representatives(rows) and {plain_fingerprint(t) for _, t in rows if t in (a, c)} <= {f for _, f in got}
+
+
+@pytest.mark.parametrize("ball", [False, True])
+def test_large_shards_are_divided_without_loss(spark, monkeypatch, ball):
+    """Fingerprints spread over all bits, or in a ball that no boundary thins, in shards of a few dozen."""
+    monkeypatch.setattr(simhash, "SHARD", 10**6)
+    monkeypatch.setattr(simhash, "MOST", 40)
+    monkeypatch.setattr(simhash, "LEAF", 10)
+    r = np.random.default_rng(5)
+    if ball:
+        points = [sum(1 << int(b) for b in r.choice(64, 3, replace=False)) for _ in range(250)]
+    else:
+        points = [int(x) for x in r.integers(0, 2**64, 300, dtype=np.uint64)]
+        points += [p ^ (1 << int(r.integers(64))) ^ (1 << int(r.integers(64))) for p in points[:150]]
+    points = sorted(set(points))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(signed(p),) for p in points], "fp bigint")
+    sizes = simhash._divided(df.withColumn("shard", F.lit(0).cast("bigint")), 2).groupBy("shard", "i", "j").count().collect()
+    assert max(x["count"] for x in sizes) <= 80 and len(sizes) > 5
+    got = {(x.a % 2**64, x.b % 2**64) for x in simhash.links(df).collect()}
+    at = {p: i for i, p in enumerate(points)}
+    whole = components(len(points), [(i, j) for i in range(len(points)) for j in range(i) if (points[i] ^ points[j]).bit_count() <= 2])
+    assert components(len(points), [(at[a], at[b]) for a, b in got]) == whole
 
 
 def test_tree_brings_all_close_pairs_together():
