@@ -1,14 +1,18 @@
 """Quality classifier: regularised quadratic discriminant over transformed text statistics.
 
-Each class has a Gaussian of the statistics; its covariance is shrunk towards the pooled one and towards
-that one's diagonal.  A score is the logistic of the difference of the two log densities, from Mahalanobis
-distances by Cholesky factors that are computed once and sent to the tasks.  Labels serve for fitting only;
-language, source and id never enter a score.
+Each class has a Gaussian of the statistics; its covariance is shrunk towards the pooled one (by ``pooling``) and that
+mixture towards the pooled one's diagonal (by ``ridge``).  Both weights are chosen from the data: the labelled rows are dealt
+into folds, and the pair under which each fold is likeliest by the other folds' model wins.  A fold's likelihood needs only its
+moments, so one pass over the labelled rows' statistics serves all pairs.
 
-Cases: a null text is an empty one and gets the score of all-zero statistics; null labels and labels without
+A score is the logistic of the difference of the two log densities, from Mahalanobis distances by the inverses of
+Cholesky factors, which are computed once and sent to the tasks.  Labels serve for fitting only; language, source and id
+never enter a score.
+
+Cases: a null text is an empty one and gets the score of all-zero statistics; a text of any length is read whole; null labels and labels without
 a document are left out, of several labels of one document the largest counts; without labels of
-both classes every score is the share of good labels (0.5 without any); repeated rows each keep a row; an
-empty table gives no rows; other columns are ignored (``keep`` passes them on).
+both classes every score is the share of good labels (0.5 without any); repeated rows and rows that share a ``doc_id`` each keep a row; an
+empty table gives no rows; other columns, whatever their names, are ignored (``keep`` passes them on).
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, texts_of
 
 THRESHOLD = 0.3
-#: Shrinkage towards the pooled covariance, and of that towards its diagonal.
-POOLING, RIDGE = 0.6, 0.01
+#: Weights that are tried: towards the pooled covariance, and of that towards its diagonal.
+POOLINGS, RIDGES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0), (0.001, 0.01, 0.1, 0.3)
+#: Folds of the labelled rows; variances are at least LEAST_VARIANCE.
+FOLDS, LEAST_VARIANCE = 4, 1e-6
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _SYMBOLS, _MARKS = rb"#*$%&|<>!@^~_={}[]\+", b".,;:?'\"()-"
 N_STATS = 11
@@ -55,48 +61,92 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text", held_out), run, "doc_id bigint, held_out boolean, x array<double>")
 
 
+@dataclass
+class Moments:
+    """Number, mean and covariance (of the whole set) of some rows."""
+
+    n: float
+    mean: np.ndarray
+    cov: np.ndarray
+
+    @staticmethod
+    def union(parts: list[Moments]) -> Moments:
+        n = sum(p.n for p in parts)
+        mean = sum(p.n * p.mean for p in parts) / n
+        return Moments(n, mean, sum(p.n * (p.cov + np.outer(p.mean - mean, p.mean - mean)) for p in parts) / n)
+
+
 @dataclass
 class Model:
-    """Two Gaussians (mean, Cholesky factor, log determinant and prior), or a constant score."""
+    """Two Gaussians (mean, inverse Cholesky factor, log prior less log determinant), or a constant score."""
 
     constant: float
     classes: list[tuple[np.ndarray, np.ndarray, float]] | None = None
+    pooling: float | None = None
+    ridge: float | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.classes is None or not len(x):
             return np.full(len(x), self.constant)
-        bad, good = (bias - 0.5 * (np.linalg.solve(factor, (x - mean).T) ** 2).sum(axis=0) for mean, factor, bias in self.classes)
+        bad, good = (bias - 0.5 * (((x - mean) @ inverse.T) ** 2).sum(axis=1) for mean, inverse, bias in self.classes)
         return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
 
-
-def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """The model from ``stats`` of rows that are not held out and ``labels(doc_id, quality)``; only class moments reach the driver."""
-    of_doc = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
-    rows = stats.where(~F.col("held_out")).join(of_doc, F.col("doc_id") == F.col("labelled"))
+    @staticmethod
+    def of(classes: list[Moments], pooling: float, ridge: float) -> Model:
+        total = sum(c.n for c in classes)
+        pooled = sum(c.n * c.cov for c in classes) / total
+        floor = np.diag(np.maximum(np.diag(pooled), LEAST_VARIANCE))
+        out = []
+        for c in classes:
+            factor = np.linalg.cholesky((1 - ridge) * ((1 - pooling) * c.cov + pooling * pooled) + ridge * floor)
+            out.append((c.mean, np.linalg.inv(factor), float(np.log(c.n / total) - np.log(np.diag(factor)).sum())))
+        return Model(classes[1].n / total, out, pooling, ridge)
+
+    def log_likelihood(self, classes: list[Moments | None]) -> float:
+        """Of rows with these moments, up to a constant."""
+        out = 0.0
+        for (mean, inverse, bias), c in zip(self.classes, classes, strict=True):
+            if c:
+                spread = c.cov + np.outer(c.mean - mean, c.mean - mean)
+                out += c.n * (bias - 0.5 * np.trace(inverse @ spread @ inverse.T))
+        return out
+
+
+def _moments(rows: DataFrame) -> dict[tuple[int, int], Moments]:
+    """By (quality, fold); sums of differences from the common mean, so that nothing cancels."""
     d = N_STATS
+    x = [F.col("x")[i] for i in range(d)]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in pairs]
-    found = {r["quality"]: r for r in rows.groupBy("quality").agg(F.count("*").alias("n"), *sums).collect()}
-    total = sum(r["n"] for r in found.values())
-    share = found[1]["n"] / total if 1 in found else (0.0 if total else 0.5)
-    if len(found) < 2:
-        return Model(share)
-    means, covs = [], []
-    for k in (0, 1):
-        r = found[k]
+    centre = [v or 0.0 for v in rows.agg(*[F.avg(c) for c in x]).first()]
+    off = [c - F.lit(m) for c, m in zip(x, centre, strict=True)]
+    sums = [F.sum(off[i]).alias(f"s{i}") for i in range(d)] + [F.sum(off[i] * off[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    out = {}
+    for r in rows.groupBy("quality", "fold").agg(F.count("*").alias("n"), *sums).collect():
         mean, second = np.array([r[f"s{i}"] for i in range(d)]) / r["n"], np.zeros((d, d))
         for i, j in pairs:
             second[i, j] = second[j, i] = r[f"p{i}_{j}"] / r["n"]
-        means.append(mean)
-        covs.append(second - np.outer(mean, mean))
-    pooled = covs[0] * (1 - share) + covs[1] * share
-    floor = np.diag(np.maximum(np.diag(pooled), 1e-6))
-    classes = []
-    for k, prior in enumerate((1 - share, share)):
-        cov = (1 - RIDGE) * ((1 - POOLING) * covs[k] + POOLING * pooled) + RIDGE * floor
-        factor = np.linalg.cholesky(cov)
-        classes.append((means[k], factor, float(np.log(prior) - np.log(np.diag(factor)).sum())))
-    return Model(share, classes)
+        out[r["quality"], r["fold"]] = Moments(r["n"], mean + centre, second - np.outer(mean, mean))
+    return out
+
+
+def choose(folds: dict[tuple[int, int], Moments]) -> Model:
+    """The model of all folds, with the weights under which each fold is likeliest by the others."""
+    of = lambda k, wanted: Moments.union(p) if (p := [m for (q, f), m in folds.items() if q == k and wanted(f)]) else None
+    whole = [of(k, lambda f: True) for k in (0, 1)]
+    if None in whole:
+        total = sum(m.n for m in folds.values())
+        return Model((whole[1].n if whole[1] else 0.0) / total if total else 0.5)
+    splits = [([of(k, lambda f: f != h) for k in (0, 1)], [of(k, lambda f: f == h) for k in (0, 1)]) for h in range(FOLDS)]
+    splits = [(rest, held) for rest, held in splits if None not in rest]
+    best = max(((p, r) for p in POOLINGS for r in RIDGES), key=lambda w: sum(Model.of(rest, *w).log_likelihood(held) for rest, held in splits))
+    return Model.of(whole, *best)
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> Model:
+    """The model from ``stats`` of rows that are not held out and ``labels(doc_id, quality)``; only moments by class and fold reach the driver."""
+    of_doc = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
+    rows = stats.where(~F.col("held_out")).join(of_doc, F.col("doc_id") == F.col("labelled"))
+    return choose(_moments(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))))
 
 
 def scores(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -90,6 +90,53 @@ def test_quality_learns_and_keeps_held_out_labels_out(spark, table):
     kept = quality.keep(docs, labels)
     assert {r.doc_id for r in kept.collect()} == {a for a, _, q in good + bad if out[a].predicted} and kept.columns == docs.columns
     assert quality.classify(docs.limit(0), labels).count() == 0
+    clash = df.withColumn("x", F.lit(1)).withColumn("held_out", F.lit("a")).withColumn("quality", F.lit(7))
+    assert quality.classify(clash, labels).count() == len(rows) and quality.keep(clash, labels).columns == clash.columns
+
+
+def plain_discriminant(good, bad, folds, x):
+    """Scores of ``x`` by a regularised quadratic discriminant whose weights are chosen by held-out likelihood; all by dense algebra."""
+
+    def densities(sets, pooling, ridge, x):
+        covs = [np.cov(s.T, bias=True) for s in sets]
+        n = [len(s) for s in sets]
+        pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+        out = []
+        for s, c, k in zip(sets, covs, n, strict=True):
+            c = (1 - ridge) * ((1 - pooling) * c + pooling * pooled) + ridge * np.diag(np.maximum(np.diag(pooled), 1e-6))
+            z = x - s.mean(axis=0)
+            out.append(np.log(k / sum(n)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z))
+        return out
+
+    def held(pooling, ridge):
+        total = 0.0
+        for h in range(quality.FOLDS):
+            rest = [bad[folds[0] != h], good[folds[1] != h]]
+            for k, own in enumerate((bad[folds[0] == h], good[folds[1] == h])):
+                total += densities(rest, pooling, ridge, own)[k].sum() if len(own) else 0
+        return total
+
+    best = max(((p, r) for p in quality.POOLINGS for r in quality.RIDGES), key=lambda w: held(*w))
+    low, high = densities([bad, good], *best, x)
+    return best, 1 / (1 + np.exp(np.clip(low - high, -500, 500)))
+
+
+def test_discriminant_equals_dense_algebra(spark):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(quality.N_STATS, quality.N_STATS)) / 3 + np.eye(quality.N_STATS)
+    good = 1000.0 + r.normal(size=(160, quality.N_STATS)) @ base
+    bad = 1000.3 + r.normal(size=(90, quality.N_STATS)) @ (base * 1.4)
+    other = 1000.1 + r.normal(size=(50, quality.N_STATS)) @ base
+    rows = [(i, False, x.tolist()) for i, x in enumerate([*good, *bad])] + [(1000 + i, True, x.tolist()) for i, x in enumerate(other)]
+    stats = spark.createDataFrame(rows, "doc_id bigint, held_out boolean, x array<double>")
+    labels = spark.createDataFrame([(i, int(i < 160)) for i in range(250)] + [(3, 0), (1001, 0), (9999, 1), (5, None)], "doc_id bigint, quality int")
+    fold = {r.doc_id: r.f for r in stats.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("f")).collect()}
+    folds = [np.array([fold[160 + i] for i in range(90)]), np.array([fold[i] for i in range(160)])]
+    best, want = plain_discriminant(good, bad, folds, np.concatenate([good, bad, other]))
+    model = quality.fit(stats, labels)
+    assert (model.pooling, model.ridge) == best
+    got = {x.doc_id: x.score for x in quality.scores(stats, model).collect()}
+    assert np.allclose([got[i] for i, _, _ in rows], want, atol=1e-6)
 
 
 # near duplicates
