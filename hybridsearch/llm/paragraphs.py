@@ -1,27 +1,28 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-A paragraph is a stretch of a line that its own words delimit: it begins at a line's start or where a hash of two
-neighbouring words is the smallest within ``REACH`` words on either side.  A passage that is copied
-into another text, even into the middle of a sentence, thus has the same inner paragraphs there.
+A paragraph is a block between blank lines, or a line where a text has no blank lines.  Shorter ones than ``MIN_WORDS`` words (headings,
+list items, notices) are left alone.
 
 Equal paragraphs are grouped by a digest first.  Bands of MinHash values over five-word shingles, their
 number chosen for the recall wanted, bring similar ones together; pairs in a bucket are verified by the exact
-Jaccard coefficient of their shingles.  A large bucket is divided into blocks, each pair of blocks a task of its
-own.  Only a spanning forest of the verified links is kept; its components are the classes.  Of a class
+Jaccard coefficient of their shingles.  In a large bucket all paragraphs are compared with its first one, which
+settles those that are similar to it with one link each; the others are compared with all in blocks, each pair of blocks a
+task of its own.  So a bucket of copies that differ in a word costs a comparison each, and no link between classes is lost.
+Only a spanning forest of the verified links is kept; its components are the classes.  Of a class
 that occurs in two documents or more, the first paragraph (by doc_id, then place) stays, the others go.
 
-Paragraphs leave the edges of a copied passage, and short lines, in place.  Exact stretches (``stretches``), found over line
-ends, go as a whole besides.
+Passages inside a paragraph, and over several short lines, are not paragraphs: exact stretches of 50 words and more
+(``stretches``), found wherever they begin, go as a whole besides.
 
-Cases: a null or empty text has no paragraphs; paragraphs under ``MIN_WORDS`` words are never compared; rows
+Cases: a null or empty text has no paragraphs; a text of any length is cut and compared whole; rows
 without ``doc_id`` take no part and stay as they are; rows that share a ``doc_id`` count as one document; repeats
-within one document only are left alone; an empty table gives no rows; other columns are ignored (``removed``
-passes them on).
+within one document only are left alone; of equal places the first by ``doc_id`` stays; an empty table gives no rows; other columns,
+whatever their names, are ignored (``removed`` passes them on).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -34,17 +35,19 @@ from .graph import connected_components
 from .stretches import stretches, text_digests
 from .words import Words, mix, run_hashes, shingles, slices
 
-WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.98
-MIN_WORDS = 8
-#: A power of two: paragraphs have more than so many words, unless a line starts or ends, about twice as many on average.
-REACH = 8
-ROWS = 2
+WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99
+MIN_WORDS = 25
+ROWS = 3
 #: Members of a bucket that are compared with one another in one task; larger buckets are divided.
 BLOCK = 400
 #: Bands or digests that are sent to every task rather than joined by a shuffle, where there are no more of them.
 BROADCAST_ROWS = 500_000
 
 
+#: Odd factors, one a MinHash value.
+_FACTORS = mix(np.arange(1, 1001, dtype=np.uint64)) | np.uint64(1)
+
+
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
     """The fewest bands of ``rows`` values that let a pair at ``similarity`` meet with probability ``recall``."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
@@ -56,19 +59,11 @@ class Paragraphs:
     def __init__(self, texts: pa.Array):
         self.words = w = Words(texts)
         n = len(w)
-        new_line = np.concatenate([[True], w.line[1:] != w.line[:-1]]) if n else np.zeros(0, bool)
-        previous = np.concatenate([[np.uint64(0)], w.hash[:-1]]) if n else w.hash
-        rank = mix(mix(np.where(new_line, np.uint64(0), previous)) + w.hash)
-        # lines stand so far apart that none sees another's words
-        at = np.arange(n) + REACH * np.cumsum(new_line)
-        spread = np.full((at[-1] if n else 0) + 2 * REACH + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
-        spread[at] = rank
-        low, step = spread, 1
-        while step < REACH:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        inner = (rank < low[at - REACH]) & (rank <= low[at + 1]) if n else new_line
-        begin = np.flatnonzero(new_line | inner)
+        lines = np.diff(w.line, prepend=0)
+        new_text = np.diff(w.row, prepend=-1) > 0
+        in_blocks = np.zeros(len(texts), dtype=bool)
+        in_blocks[w.row[(lines > 1) & ~new_text]] = True
+        begin = np.flatnonzero(new_text | (lines > np.where(in_blocks[w.row], 1, 0)))
         stop = np.append(begin[1:], n)[: len(begin)]
         long = stop - begin >= MIN_WORDS
         self.begin, self.stop = begin[long], stop[long]
@@ -87,7 +82,8 @@ class Paragraphs:
         padded = np.append(self.shingles, np.uint64(0))
         out = np.zeros((len(self), n), dtype=np.uint64)
         for k in range(n * ROWS):
-            least = np.minimum.reduceat(mix(padded + np.uint64(k * 0xD1B54A32D192ED03 % 2**64)), ends)[::2]
+            # an odd factor permutes the hashes, which are mixed already
+            least = np.minimum.reduceat(padded * _FACTORS[k], ends)[::2]
             out[:, k // ROWS] = mix(out[:, k // ROWS] + least + np.uint64(k))
         return out.view(np.int64)
 
@@ -142,19 +138,22 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "digest bigint, members array<bigint>").dropDuplicates(["digest"])
 
 
-def _forest(digests: list[int], sets: list[set[int]], least: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs whose Jaccard coefficient reaches ``least``."""
-    n = len(digests)
-    if n <= 8:
-        pairs = ((i, j) for i in range(n) for j in range(i + 1, n) if _close(len(sets[i] & sets[j]), len(sets[i]), len(sets[j]), least))
-    else:
-        size = np.array([len(s) for s in sets])
-        _, column = np.unique(np.concatenate([list(s) for s in sets]), return_inverse=True)
-        holds = np.zeros((n, column.max() + 1), dtype=np.float32)
-        holds[np.repeat(np.arange(n), size), column] = 1
-        close = _close(holds @ holds.T, size[:, None], size[None, :], least)
-        pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))), strict=True)
-    root = list(range(n))
+def _close(both, a, b, least: float):
+    return both >= least * (a + b - both) - 1e-6
+
+
+def _similar(left: list[list[int]], right: list[list[int]], least: float) -> np.ndarray:
+    """Which pairs' Jaccard coefficient reaches ``least``."""
+    n, size = len(left), np.array([len(s) for s in left + right])
+    _, column = np.unique(np.concatenate([np.asarray(s) for s in left + right]), return_inverse=True)
+    holds = np.zeros((len(size), column.max() + 1), dtype=np.float32)
+    holds[np.repeat(np.arange(len(size)), size), column] = 1
+    return _close(holds[:n] @ holds[n:].T, size[:n, None], size[None, n:], least)
+
+
+def _forest(digests: list[int], pairs: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of ``pairs`` of positions in ``digests``."""
+    root = list(range(len(digests)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -169,8 +168,24 @@ def _forest(digests: list[int], sets: list[set[int]], least: float) -> Iterator[
             yield digests[a], digests[b]
 
 
-def _close(both, a, b, least: float):
-    return both >= least * (a + b - both) - 1e-6
+def _verified(rows: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Links of one group of rows (..., side, digest, members): within side 0, or between sides 1 and 2."""
+    sides = [[r for r in rows if r[-3] == k] for k in (0, 1, 2)]
+    out: list[tuple[int, int]] = []
+    own = sides[0]
+    if len(own) > 1:
+        if len(own) <= 8:
+            sets = [set(r[-1]) for r in own]
+            pairs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if _close(len(sets[i] & sets[j]), len(sets[i]), len(sets[j]), least)]
+        else:
+            close = _similar([r[-1] for r in own], [r[-1] for r in own], least)
+            pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))), strict=True)
+        out += _forest([r[-2] for r in own], pairs)
+    if sides[1] and sides[2]:
+        close = _similar([r[-1] for r in sides[1]], [r[-1] for r in sides[2]], least)
+        i, j = np.nonzero(close)
+        out += _forest([r[-2] for r in sides[1] + sides[2]], zip(i.tolist(), (len(sides[1]) + j).tolist(), strict=True))
+    return [(a, b) for a, b in out if a != b]
 
 
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -182,27 +197,40 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     few = shared.count() <= BROADCAST_ROWS
     members = _bands(docs, n).join(F.broadcast(shared) if few else shared, "band").groupBy("band", "digest").agg(F.min("doc_id").alias("doc_id"))
     members = materialize(members, "buckets")
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    # tables on both sides of each join, so that Spark can divide the rows of a band that very many paragraphs have
+    sizes = materialize(members.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("first")), "bucket-sizes")
     wanted = materialize(members.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("digest").alias("digests")), "wanted")
+    sets = materialize(_sets(docs, wanted), "shingle-sets")
+    small = members.join(sizes.where(F.col("n") <= BLOCK), "band").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "digest")
+
+    large = sizes.where(F.col("n") > BLOCK)
+    firsts = materialize(large.join(sets, F.col("first") == F.col("digest")).select("band", "n", "first", F.col("members").alias("first_members")), "first-members")
+    stars = members.join(firsts, "band").join(sets, "digest").select("band", "n", "first", "digest", F.size("members").alias("a"), F.size("first_members").alias("b"), F.size(F.array_intersect("members", "first_members")).alias("both"))
+    close = F.col("both") >= similarity * (F.col("a") + F.col("b") - F.col("both")) - 1e-6
+    stars = materialize(stars.select("band", "n", "first", "digest", close.alias("close")), "compared-with-first")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("digest"), blocks).cast("int")
-    pairs = members.join(sizes, "band").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = pairs.select("band", "digest", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(_sets(docs, wanted), "digest")
+    block = F.pmod(F.xxhash64("digest"), blocks).cast("int")
+    others = stars.where("not close")
+    # blocks of a band that hold others, at most as many as it has others
+    held = materialize(others.select("band", block.alias("i")).distinct(), "blocks-of-others")
+    left = others.select("band", block.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(1).alias("side"), "digest")
+    right = stars.select("band", block.alias("j"), "digest").join(held, "band").select("band", "i", "j", F.lit(2).alias("side"), "digest")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "digest", "members")), strict=True)
+            yield from zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "side", "digest", "members")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(rows(batches), key=lambda r: r[:3]):
-            own = list(group)
-            found = list(_forest([r[3] for r in own], [set(r[4]) for r in own], similarity))
+            found = _verified(list(group), similarity)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     # a bucket's rows (of a pair of blocks, if it is large) follow one another
+    tasks = small.unionByName(left).unionByName(right).join(sets, "digest")
     sorted_tasks = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return sorted_tasks.mapInArrow(run, "a bigint, b bigint").distinct()
+    verified = sorted_tasks.mapInArrow(run, "a bigint, b bigint")
+    return verified.unionByName(stars.where("close and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))).distinct()
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -235,13 +263,16 @@ def removed(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     pieces = repeats(docs, similarity, recall).where("removed").select("doc_id", "start_word", "n_words", "digest")
     pieces = pieces.unionByName(stretches(docs).select("doc_id", "start_word", "n_words", F.col("of").alias("digest")))
     gone = pieces.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set(F.struct("start_word", "n_words", "digest")).alias("gone_places"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("gone_doc"), "left").drop("gone_doc")
-    columns = docs.columns
+    columns, name = docs.columns, "gone_places"
+    while name in columns:
+        name += "_"
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own_row"), F.col("doc_id").cast("bigint").alias("own_id"))
+    joined = own.join(gone, F.col("own_id") == F.col("gone_doc"), "left").select("own_row.*", F.col("gone_places").alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, texts in slices(batch):
-                lists, kept = some.column("gone_places").to_pylist(), some.column("text").to_pylist()
+                lists, kept = some.column(name).to_pylist(), some.column("text").to_pylist()
                 hit = [i for i, x in enumerate(lists) if x and kept[i]]
                 if hit:
                     words = Words(texts.take(pa.array(hit)))
@@ -250,7 +281,7 @@ def removed(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
                         kept[i] = _without(kept[i], words, r, int(whole[r]), [(x["start_word"], x["n_words"], x["digest"]) for x in lists[i]])
                 yield pa.RecordBatch.from_arrays([pa.array(kept, type=pa.string()) if c == "text" else some.column(c) for c in columns], names=columns)
 
-    return joined.select(*columns, "gone_places").mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def _without(text: str, words: Words, row: int, whole: int, gone: list[tuple[int, int, int]]) -> str:

@@ -38,7 +38,7 @@ from .graph import connected_components
 SAMPLE = 20_000
 #: Aim for so many fingerprints in a shard, and divide those with more than MOST again.
 SHARD, MOST = 6_000, 12_000
-#: A leaf of the tree that is sent to every task has so many sample points at least.
+#: A node of the tree that is sent to every task is divided only while more sample points come to it.
 LEAF_SAMPLE = 16
 #: A task compares so many fingerprints with one another directly.
 LEAF = 1_500
@@ -92,34 +92,46 @@ def _median_radius(points: np.ndarray, vantage: np.uint64) -> int:
 
 
 class Tree:
-    """The vantage points and radii of a complete binary tree, node k's children being 2k+1 and 2k+2."""
+    """Vantage points and radii; ``child`` has each node's near and far child, or a shard's number k as -1 - k.
 
-    def __init__(self, sample: np.ndarray, depth: int, reach: int):
+    A node is divided while more than ``most`` of the sample's points come to it, those near boundaries counted on both sides.
+    """
+
+    def __init__(self, sample: np.ndarray, most: float, reach: int):
         rng = np.random.default_rng(0)
-        self.depth, self.reach = depth, reach
-        nodes = 2**depth - 1
-        self.vantage, self.radius = np.zeros(nodes, dtype=np.uint64), np.full(nodes, 64)
-        parts = {0: sample}
-        for k in range(nodes):
-            points = parts.pop(k)
-            if len(points):
-                self.vantage[k] = rng.choice(points)
-                self.radius[k] = _median_radius(points, self.vantage[k])
-            near = _distance(points, self.vantage[k]) <= self.radius[k]
-            parts |= {2 * k + 1: points[near], 2 * k + 2: points[~near]}
+        self.reach, self.n_shards = reach, 0
+        self.vantage: list[np.uint64] = []
+        self.radius: list[int] = []
+        self.child: list[list[int]] = []
+        self.first = self._grow(sample, max(most, LEAF_SAMPLE), rng)
+
+    def _grow(self, points: np.ndarray, most: float, rng: np.random.Generator) -> int:
+        if len(points) > most:
+            vantage = rng.choice(points)
+            radius = _median_radius(points, vantage)
+            near, far = _divide(points, self.reach, vantage, radius)
+            if max(near.sum(), far.sum()) < 0.9 * len(points):
+                k = len(self.vantage)
+                self.vantage.append(vantage)
+                self.radius.append(radius)
+                self.child.append([])
+                self.child[k] = [self._grow(points[near], most, rng), self._grow(points[far], most, rng)]
+                return k
+        self.n_shards += 1
+        return -self.n_shards
 
     def shards(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, indices into ``points``) of all shards that points go to."""
-        todo = [(0, np.arange(len(points)))]
+        todo = [(self.first, np.arange(len(points)))]
         while todo:
             k, own = todo.pop()
             if not len(own):
                 continue
-            if k >= len(self.vantage):
-                yield k - len(self.vantage), own
+            if k < 0:
+                yield -1 - k, own
                 continue
             near, far = _divide(points[own], self.reach, self.vantage[k], self.radius[k])
-            todo += [(2 * k + 1, own[near]), (2 * k + 2, own[far])]
+            todo += [(self.child[k][0], own[near]), (self.child[k][1], own[far])]
 
 
 class _Union:
@@ -218,11 +230,10 @@ def _divided(shards: DataFrame, reach: int) -> DataFrame:
 def links(distinct: DataFrame, reach: int = 2) -> DataFrame:
     """``a, b``: a spanning forest, shard by shard, of all pairs of ``distinct(fp)`` within ``reach`` bits."""
     n = distinct.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, min(n / SHARD, SAMPLE / LEAF_SAMPLE))))))
     share = min(1.0, 2 * SAMPLE / max(n, 1))
     sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share)).limit(SAMPLE)
     points = np.sort(np.array([r.fp for r in sample.collect()], dtype=np.int64)).view(np.uint64)
-    tree = Tree(points, depth, reach)
+    tree = Tree(points, SHARD * len(points) / max(n, 1), reach)
 
     def place(batch: pa.RecordBatch) -> dict | None:
         fp = batch.column("fp").to_numpy()

@@ -228,7 +228,8 @@ def test_tree_brings_all_close_pairs_together():
     r = np.random.default_rng(3)
     points = r.integers(0, 2**64, 3000, dtype=np.uint64)
     points = np.unique(np.concatenate([points, points[:500] ^ (np.uint64(1) << r.integers(0, 64, 500, dtype=np.uint64)), points[:300] ^ np.uint64(5)]))
-    tree = simhash.Tree(points[:1000], 5, 2)
+    tree = simhash.Tree(points[:1000], 60, 2)
+    assert tree.n_shards > 16
     shards = [set(own.tolist()) for _, own in tree.shards(points)]
     for i in range(len(points)):
         for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 2):
@@ -246,12 +247,25 @@ def test_components_of_a_long_path(spark):
 
 
 def plain_paragraphs(rows):
-    import pyarrow as pa
-
-    own = [r for r in rows if r[0] is not None]
-    p = paragraphs.Paragraphs(pa.array([r[1] or "" for r in own]))
-    w = [lower(r[1]).encode().split() for r in own]
-    return [(own[r][0], int(s), tuple(w[r][s : s + n])) for r, s, n in zip(p.row, p.start, p.n_words, strict=True)]
+    """(doc_id, first word, words) of lines, or of blocks between blank lines."""
+    out = []
+    for doc, text in (r[:2] for r in rows):
+        lines = [lower(x).encode().split() for x in (text or "").split("\n")]
+        while lines and not lines[-1]:
+            lines.pop()
+        while lines and not lines[0]:
+            lines.pop(0)
+        if not all(lines):
+            blocks = [[]]
+            for x in lines:
+                blocks[-1].extend(x) if x else blocks.append([])
+            lines = blocks
+        at = 0
+        for x in lines:
+            if doc is not None and len(x) >= paragraphs.MIN_WORDS:
+                out.append((doc, at, tuple(x)))
+            at += len(x)
+    return out
 
 
 def plain_repeats(rows):
@@ -265,28 +279,62 @@ def plain_repeats(rows):
     return Counter((*m, *min(v), m != min(v)) for v in classes.values() if len({d for d, _ in v}) > 1 for m in v)
 
 
+def changed(text, k):
+    w = text.split()
+    w[k] = f"other{k}"
+    return " ".join(w)
+
+
 def test_repeats(spark, table):
+    """Whole paragraphs and near copies of them, as lines and as blocks of wrapped lines."""
     df, rows = table
-    passage = prose(70, 4242)
-    extra = [(500 + i, prose(60, 600 + i) + " " + passage + " " + prose(60, 700 + i), "en", "s", 1, 1, "x") for i in range(6)]
+    passage, block = prose(70, 4242), prose(80, 4343)
+    wrapped = "\n".join(" ".join(block.split()[i : i + 9]) for i in range(0, 80, 9))
+    extra = [(500 + i, prose(60, 600 + i) + "\n" + (passage if i < 3 else changed(passage, 10 * i)) + "\n" + prose(60, 700 + i), "en", "s", 1, 1, "x") for i in range(6)]
+    extra += [(520 + i, prose(30, 800 + i) + "\n\n" + (wrapped if i else block) + "\n \n" + prose(9, 900 + i), "en", "s", 1, 1, "x") for i in range(3)]
     rows = rows + extra
     df = spark.createDataFrame(rows, df.schema)
     want = plain_repeats(rows)
     got = Counter((r.doc_id, r.start_word, r.class_doc_id, r.class_start, r.removed) for r in paragraphs.repeats(df).collect())
     assert got == want and {r[0] for r in extra} <= {k[0] for k in got}
-    cut = {r.doc_id: r.text for r in paragraphs.removed(df).where("doc_id >= 500").collect()}
-    assert cut[500] == extra[0][1] and all(len(cut[500 + i].split()) < 175 for i in range(1, 6))
-    assert paragraphs.removed(df).count() == len(rows) and paragraphs.repeats(df.limit(0)).count() == 0
+    clash = df.withColumn("gone_places", F.lit("mine")).withColumn("own_row", F.lit(1)).withColumn("digest", F.lit(2))
+    out = paragraphs.removed(clash)
+    cut = {r.doc_id: r.text for r in out.where("doc_id >= 500").collect()}
+    assert cut[500] == extra[0][1] and all(len(cut[500 + i].split()) == 120 for i in range(1, 6)) and len(cut[521].split()) == 39
+    assert out.columns == clash.columns and out.count() == len(rows) and paragraphs.repeats(df.limit(0)).count() == 0
 
 
-def test_large_buckets_are_divided_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("similar", [True, False])
+def test_large_buckets_are_divided_without_loss(spark, monkeypatch, similar):
     monkeypatch.setattr(paragraphs, "BLOCK", 3)
-    text = prose(60, 77).replace(".", "").split()
-    rows = [(i, " ".join([*text, f"last{i}"])) for i in range(30)]  # the last paragraphs differ in one word
+    text = prose(60, 77).split()
+    # paragraphs that differ in one word, and chains of them away from the first
+    rows = [(i, " ".join([*text[:59], f"last{i}"])) for i in range(12)]
+    if not similar:
+        for i in range(12, 30):
+            text[(5 * i) % 59] = f"step{i}"
+            rows.append((i, " ".join(text)))
     out = paragraphs.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert Counter((r.doc_id, r.start_word, r.class_doc_id, r.class_start, r.removed) for r in out) == plain_repeats(rows)
 
 
+def test_recall_of_the_bands():
+    """Of a thousand pairs of paragraphs at a similarity of 0.8 to 0.85, how many share a band."""
+    import pyarrow as pa
+
+    n, met, pairs = paragraphs.tune_bands(), 0, 0
+    for k in range(1200):
+        a = prose(90 + k % 40, 20_000 + k).split()
+        b = a.copy()
+        for at in (20, 50)[: 1 + (k % 2)]:
+            b[at] = f"x{k}"
+        grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b)]
+        if 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) <= 0.85:
+            bands = paragraphs.Paragraphs(pa.array([" ".join(a), " ".join(b)])).bands(n)
+            met, pairs = met + bool((bands[0] == bands[1]).any()), pairs + 1
+    assert pairs > 300 and met >= 0.98 * pairs
+
+
 def plain_stretches(rows, least):
     """(doc_id, word) of every word in a run of ``least`` words that an earlier document has."""
     first, want = {}, set()
@@ -380,16 +428,43 @@ def test_leaks_with_one_word_changed_anywhere(spark):
 # licences
 
 
-def test_license_scan_equals_sql(spark, table):
+def plain_base(text):
+    """All places of the base phrases."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    found = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in found]
+    return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_license_scan_equals_sql_and_finds_cut_and_reflowed_texts(spark, table):
     df, rows = table
-    lines = ["Released under the MIT License. Under the mit LICENSE", "Licensed under the Apache License, Version 2.0", "CC-BY-NC cc by nc", "the GNU General Public License v3", "mit license", "under the mit", "license " * 50]
-    rows = rows + [(900 + i, t, "en", "s", 1, 1, "x") for i, t in enumerate(lines)]
+    lines = [
+        "Released under the MIT License. Under the mit LICENSE", "Licensed under the Apache License, Version 2.0", "CC-BY-NC cc by nc", "the GNU General Public License v3", "mit license", "under the mit",
+        "license " * 50, "(under the mit license)", "word license under the MIT LICEN\u017fE under the mit license\u212a", "cc by nc " * 300, "...", "lİcense under the mit license",
+    ]
+    # each whole text as published, in lines of five words after other text, in stars and small letters, its first 70 %, and with a word put in
+    shapes, want_labels = [], []
+    for t in license_scan.TEMPLATES[6:]:
+        w = t.text.split()
+        reflowed = "\n".join(" * " + " ".join(w[i : i + 5]) for i in range(0, len(w), 5))
+        for x in (t.text, prose(40, len(w)) + "\n" + reflowed, t.text.lower(), " ".join(w[: int(len(w) * 0.7)]), " ".join([*w[: len(w) * 3 // 4], "Example", *w[len(w) * 3 // 4 :]])):
+            shapes.append(x)
+            want_labels.append(t.label)
+    mixed = [" ".join(rng.sample(license_scan.TEMPLATES[6].words, 60)) for _ in range(5)]
+    rows = rows + [(900 + i, t, "en", "s", 1, 1, "x") for i, t in enumerate(lines)] + [(2000 + i, t, "en", "s", 1, 1, "x") for i, t in enumerate(shapes)] + [(3000 + i, t, "en", "s", 1, 1, "x") for i, t in enumerate(mixed)]
     con = duckdb.connect()
     con.execute("create table documents(doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", [(r[0], r[1]) for r in rows])
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     want = Counter(con.sql(f"select {', '.join(names)} from ({license_scan.SCAN_SQL})").fetchall())
-    assert Counter(tuple(r[n] for n in names) for r in license_scan.scan(spark.createDataFrame(rows, df.schema)).collect()) == want
+    out = license_scan.scan(spark.createDataFrame(rows, df.schema)).collect()
+    assert Counter(tuple(r[n] for n in names) for r in out) == want
+    assert Counter((r.doc_id, *(r[n] for n in names[1:6])) for r in out) == Counter((r[0], *plain_base(r[1])) for r in rows)
+    by_id = {r.doc_id: r for r in out}
+    assert not [(i, label) for i, label in enumerate(want_labels) if label not in by_id[2000 + i].labels.split(",")]
+    assert all(by_id[2000 + i].score == 1 for i in range(0, len(shapes), 5)) and all(by_id[2000 + i].score > 0.5 for i in range(3, len(shapes), 5))
+    assert all(not by_id[3000 + i].labels for i in range(5))
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
@@ -417,3 +492,82 @@ def test_rules(spark, table):
     assert not any(by_id[800 + i].kept for i in range(5)) and not any(r.kept and r.base_failed for r in out)
     assert sum(r.kept for r in out) > 60
     assert outliers.rules(df.limit(0)).count() == 0
+
+
+def plain_mcd(groups):
+    """The estimate of each group's rows by the stated steps, with whole sorts and dense algebra; ``groups`` key -> (n, 5) array."""
+    o = outliers
+    floored = lambda c: c + o.FLOOR * np.eye(5)
+    log_det = lambda c: np.linalg.slogdet(c)[1]
+
+    def lowest_bin(bins, share):
+        values, counts = np.unique(bins, return_counts=True)
+        return values[np.flatnonzero(np.cumsum(counts) >= share * counts.sum())[0]]
+
+    def step(x, m, c):
+        z = x - m
+        bins = np.floor(np.log(np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z) + 1e-6) * o.NARROW)
+        near = x[bins <= lowest_bin(bins, o.SUPPORT)]
+        return near.mean(axis=0), floored(o.CONSISTENCY * np.cov(near.T, bias=True))
+
+    out = {}
+    for key, (x, dealt) in groups.items():
+        m = np.array([(lowest_bin(np.floor(x[:, i] * o.FINE), 0.5) + 0.5) / o.FINE for i in range(5)])
+        s = np.array([1.4826 * (lowest_bin(np.floor(abs(x[:, i] - m[i]) * o.FINE), 0.5) + 0.5) / o.FINE for i in range(5)])
+        starts = [(m, floored(np.diag(s * s)))]
+        scale = np.maximum(s, o.FLOOR**0.5)
+        u = (x - m) / scale
+        u = u / np.linalg.norm(u, axis=1)[:, None]
+        starts.append((m, floored(5 * (u.T @ u / len(u)) * np.outer(scale, scale))))
+        starts += [(x[dealt == k].mean(axis=0), floored(np.cov(x[dealt == k].T, bias=True))) for k in np.unique(dealt)]
+        for _ in range(o.FIRST_STEPS):
+            starts = [step(x, *e) for e in starts]
+        now = min(starts, key=lambda e: log_det(e[1]))
+        for _ in range(o.MOST_STEPS):
+            new = step(x, *now)
+            if log_det(new[1]) >= log_det(now[1]) - o.SETTLED:
+                break
+            now = new
+        out[key] = (len(x), *now)
+    return out
+
+
+def test_minimum_covariance_determinant_equals_plain_algebra(spark):
+    """Distances and verdicts of two languages' sources, one of them small, a third of one source far off."""
+    r = np.random.default_rng(8)
+    words = lambda n, long: " ".join("abcdefghijklmnopqrstuvwxyz"[(a := int(r.integers(5))) : a + int(r.integers(2, long))] for _ in range(n))
+    rows = []
+    for lang, source, n, long in (("a", "s", 150, 7), ("a", "t", 90, 9), ("b", "s", 110, 6), ("b", None, 12, 8)):
+        rows += [(len(rows) + i, words(int(r.lognormal(5, 0.5)) + 60, long) + ("# $" * int(r.integers(0, 4))), lang, source) for i in range(n)]
+    rows += [(len(rows) + i, "\n".join([words(6, 5) + " ###$$$"] * 1 + [words(200, 20) + "#" * 300]), "a", "s") for i in range(50)]
+    rows += [(9000, "short", "a", "s"), (9001, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    stats = outliers.text_statistics(docs).withColumns(dict(zip(outliers._XS, outliers._features(), strict=True)))
+    stats = stats.withColumn("dealt", F.pmod(F.xxhash64(*outliers._XS), F.lit(outliers.DEALT))).where("not base_failed").collect()
+    groups = {}
+    for k in stats:
+        for key in ((k.lang, k.source), (k.lang,), ()):
+            groups.setdefault(key, []).append(k)
+    found = plain_mcd({key: (np.array([[k[x] for x in outliers._XS] for k in g]), np.array([k.dealt for k in g])) for key, g in groups.items()})
+
+    def mixed(key, parent):
+        n, m, c = found[key]
+        w = n / (n + outliers.PRIOR)
+        return w * m + (1 - w) * parent[0], w * c + (1 - w) * parent[1] + w * (1 - w) * np.outer(m - parent[0], m - parent[0])
+
+    want = {}
+    for k in stats:
+        m, c = mixed((k.lang, k.source), mixed((k.lang,), found[()][1:]))
+        z = np.array([k[x] for x in outliers._XS]) - m
+        want[k.doc_id] = z @ np.linalg.inv(c) @ z
+    got = {k.doc_id: k for k in outliers.rules(docs).collect()}
+    assert len(got) == len(rows) and got[9000].distance is None and not got[9000].kept
+    assert np.allclose([got[i].distance for i in want], list(want.values()), rtol=1e-6)
+    assert all(got[i].kept == (d <= outliers.CUTOFF) for i, d in want.items())
+    assert not any(got[i].kept for i in range(362, 412)) and sum(got[i].kept for i in range(362)) > 340
+
+
+def test_chi_square():
+    # tabulated values
+    assert abs(outliers.chi_square_quantile(0.05, 5) - 11.0705) < 1e-4 and abs(outliers.chi_square_quantile(0.01, 7) - 18.4753) < 1e-4
+    assert abs(outliers.chi_square_above(outliers.CUTOFF, 5) / 1e-12 - 1) < 1e-3
