@@ -425,6 +425,65 @@ def test_leaks_with_one_word_changed_anywhere(spark):
     assert {r.doc_id for r in decontaminate.clean(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def plain_leaks(items, docs, similarity=0.8):
+    """(doc_id, item_id) -> share of the item's distinct shingles that the whole text has; texts here are shorter than a passage's half."""
+    tok = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", lower(t).encode())
+    shingle = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = {}
+    for i, t in items:
+        if w := tok(t):
+            own = shingle(w, n := min(5, len(w)))
+            for d, x in docs:
+                if (s := len(own & shingle(tok(x), n)) / len(own)) >= similarity:
+                    out[d, i] = s
+    return out
+
+
+def test_items_of_common_words_have_keys(spark, monkeypatch):
+    """A benchmark whose words are all in many items: found as by brute force, and without a look at other passages."""
+    few = ["".join(x) for x in zip("abcdefghijklmnopqrst", "bcdefghijklmnopqrsta", strict=True)]
+    r = random.Random(12)
+    items = [(i, " ".join(r.choice(few) for _ in range(r.randint(20, 40)))) for i in range(150)] + [(900, "ab bc"), (901, "ab bc")]
+    docs = [(i, " ".join(r.choice(few) for _ in range(30))) for i in range(60)]
+    docs += [(100 + i, " ".join(r.choice(few) for _ in range(25)) + " " + (t if i % 3 else changed(t, 7)) + " cd de") for i, (_, t) in enumerate(items[:40])]
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    looked = []
+    wand = decontaminate.Index.wand
+    monkeypatch.setattr(decontaminate.Index, "wand", lambda self, terms, block: looked.append(block) or wand(self, terms, block))
+    index = next(decontaminate._indexes(tables[1], 0.8))
+    assert sum(index.rest >= index.threshold) > 140
+    import pyarrow as pa
+
+    found = index.search(pa.array([t for _, t in docs]))
+    want = plain_leaks(items, docs)
+    assert {(docs[d][0], index.ids[i]) for (d, i), x in found.items() if x[1] >= 0.8} == set(want)
+    assert len(looked) < 1000 < len(docs) * decontaminate.BLOCKS
+    assert {(x.doc_id, x.item_id): x.overlap for x in decontaminate.leaks(*tables).collect()} == pytest.approx(want)
+
+
+def test_portions_change_nothing(spark, table, monkeypatch):
+    df, rows = table
+    items = [(i, prose(12 + i, 3000 + i)) for i in range(40)] + [(99, None)]
+    docs = [(i, prose(30, i) + " " + t + " " + prose(20, i + 1)) for i, t in items[:30]]
+    tables = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(decontaminate.leaks(*tables).collect())
+    monkeypatch.setattr(decontaminate, "PORTION_BYTES", 900)
+    assert len(list(decontaminate._portions(tables[1]))) > 4
+    parts = sorted(decontaminate.leaks(*tables).collect())
+    assert [x[:2] for x in parts] == [x[:2] for x in whole] and {(x.doc_id, x.item_id) for x in whole} == set(plain_leaks(items, docs))
+    assert np.allclose([list(x[2:4]) for x in parts], [list(x[2:4]) for x in whole])
+    # the score, from the whole benchmark's statistics
+    toks = {i: re.findall("[a-z0-9]+", t) for i, t in items if t}
+    mean, n = sum(map(len, toks.values())) / len(toks), len(toks)
+    df_of = Counter(w for t in toks.values() for w in set(t))
+    text = {d: set(re.findall("[a-z0-9]+", t)) for d, t in docs}
+    for x in whole:
+        own = Counter(toks[x.item_id])
+        score = sum(np.log1p((n - df_of[w] + 0.5) / (df_of[w] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks[x.item_id]) / mean)) for w, tf in own.items() if w in text[x.doc_id])
+        assert abs(x.score - score) < 1e-9
+    assert Counter(r.doc_id for r in decontaminate.clean(*tables).collect()) == Counter(d for d, _ in docs if d not in {x.doc_id for x in whole})
+
+
 # licences
 
 
