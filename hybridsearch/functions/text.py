@@ -59,8 +59,9 @@ def heading_id(c: Column) -> Column:
 
 
 def heading_start(c: Column) -> Column:
-    """Characters before the first record id; -1 if there is none."""
-    return (F.regexp_instr(c, F.lit(rf"(?i)(?<!{WORD})({HEADING})(?!{WORD})")) - 1).cast("int")
+    """Characters (not UTF-16 units, which regexp_instr counts) before the first record id; -1 if there is none."""
+    before = F.regexp_extract(c, rf"(?is)^(.*?)(?<!{WORD})(?:{HEADING})(?!{WORD})", 1)
+    return F.when(heading_id(c) != "", F.length(before)).otherwise(-1).cast("int")
 
 
 def heading_tail(c: Column) -> Column:

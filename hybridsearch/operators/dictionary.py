@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.relevance import query_tokens
+
 # The sections of a dictionary file by the direction of their entries.
 DIRECT_SECTIONS = [
     "standards_bodies", "cement_types", "cement_admixtures_scm", "concrete_types", "aggregates", "lime_types", "steel_types", "concrete_products",
@@ -15,87 +17,87 @@ DIRECT_SECTIONS = [
 INVERTED_SECTIONS = ["common_abbreviations", "cement_extended", "measurement_shortcuts", "technical_terms"]
 SPELLING_SECTION = "spelling_variants"
 LONGEST_PHRASE = 4
-#: A dictionary is looked up as a literal map; it must not be larger.
-MAX_ENTRIES = 50_000
+#: Dictionaries are sent to every task up to so many bytes of keys and values, and joined by a shuffle otherwise.
+BROADCAST_BYTES = 64 << 20
 
 
 def read_dictionary(sections: DataFrame) -> DataFrame:
     """``kind, key, value`` of ``sections(seq, section, body)``, ``body`` a JSON object; of equal keys the last in order wins.
 
     Direct sections hold {abbreviation: full form}, inverted ones {full_form: [abbreviations]} and the
-    spelling section {right: [wrong]}.  Values of another type, and sections of other names, are left out.
+    spelling section {right: [wrong]}.  Values that are no strings (or no lists of them), and sections of other names, are left out.
     """
     entries = sections.where(~F.startswith("section", F.lit("_"))).select(
-        "seq", "section", F.explode(F.from_json("body", "map<string,string>")).alias("name", "raw")
+        "seq", "section", F.posexplode(F.from_json("body", "map<string,variant>")).alias("pos", "name", "raw")
     )
-    is_list = F.startswith("raw", F.lit("["))
-    direct = entries.where(F.col("section").isin(DIRECT_SECTIONS) & ~is_list & ~F.startswith("raw", F.lit("{"))).select(
-        "seq", F.lit("expansion").alias("kind"), F.lower("name").alias("key"), F.col("raw").alias("value")
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    direct = entries.where(F.col("section").isin(DIRECT_SECTIONS)).select(
+        "seq", "pos", F.lit(0).alias("item"), F.lit("expansion").alias("kind"), F.lower("name").alias("key"), text(F.col("raw")).alias("value")
     )
-    listed = entries.where(F.col("section").isin([*INVERTED_SECTIONS, SPELLING_SECTION]) & is_list).select(
-        "seq", "section", "name", F.explode(F.from_json("raw", "array<string>")).alias("entry")
+    listed = entries.where(F.col("section").isin([*INVERTED_SECTIONS, SPELLING_SECTION]) & F.startswith(F.schema_of_variant("raw"), F.lit("ARRAY"))).select(
+        "seq", "section", "pos", "name", F.posexplode(F.try_variant_get("raw", "$", "array<variant>")).alias("item", "entry")
     )
     spelling = F.col("section") == SPELLING_SECTION
     inverted = listed.select(
         "seq",
+        "pos",
+        "item",
         F.when(spelling, "spelling").otherwise("expansion").alias("kind"),
-        F.lower("entry").alias("key"),
+        F.lower(text(F.col("entry"))).alias("key"),
         F.when(spelling, F.col("name")).otherwise(F.replace("name", F.lit("_"), F.lit(" "))).alias("value"),
     )
-    both = direct.unionByName(inverted)
-    return both.groupBy("kind", "key").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
-
+    both = direct.unionByName(inverted).where("key is not null and value is not null")
+    return both.groupBy("kind", "key").agg(F.max_by("value", F.struct("seq", "pos", "item")).alias("value"))
 
-def as_map(dictionary: DataFrame, kind: str) -> dict[str, str]:
-    """One kind of a dictionary for use as a literal; refuses more than MAX_ENTRIES."""
-    rows = dictionary.where(F.col("kind") == kind).limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"a dictionary may have {MAX_ENTRIES} entries at most")
-    return {r["key"]: r["value"] for r in rows}
 
+def _entries(dictionary: DataFrame, kind: str) -> DataFrame:
+    """One kind of a dictionary, to be broadcast if its bytes, counted now, are within BROADCAST_BYTES."""
+    own = dictionary.where(F.col("kind") == kind).select("key", "value")
+    size = own.agg(F.sum(F.octet_length("key") + F.octet_length("value") + 32)).first()[0] or 0
+    return F.broadcast(own) if size <= BROADCAST_BYTES else own
 
-def _literal(entries: dict[str, str]) -> Column:
-    if not entries:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for pair in sorted(entries.items()) for x in pair])
 
+def fix_spellings(texts: DataFrame, dictionary: DataFrame, column: str = "query", to: str = "fixed") -> DataFrame:
+    """``texts`` with ``to``: the tokens of ``column``, joined by blanks, every known misspelling replaced.
 
-def fix_spellings(tokens: Column, spellings: dict[str, str]) -> Column:
-    """Every token that is a known misspelling replaced."""
-    of = _literal(spellings)
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(of, t), t))
+    Distinct texts' tokens are joined with the dictionary, whatever its size, and the few that are found are put in.
+    """
+    distinct = texts.select(F.col(column).alias("text")).distinct().withColumn("tokens", query_tokens(F.col("text")))
+    found = distinct.select("text", F.posexplode("tokens").alias("i", "key")).join(_entries(dictionary, "spelling"), "key")
+    hits = found.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("hits"))
+    fixed = F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("hits", i), t))
+    rows = distinct.join(hits, "text", "left").select(F.col("text").alias(column), F.array_join(F.when(F.col("hits").isNull(), F.col("tokens")).otherwise(fixed), " ").alias(to))
+    return _with(texts, rows, column, to)
 
 
-def expand_abbreviations(tokens: Column, expansions: dict[str, str]) -> Column:
-    """Tokens joined by blanks, with phrases of up to four tokens expanded, greedily from the left, the longest first.
+def expand_abbreviations(texts: DataFrame, dictionary: DataFrame, column: str = "query", to: str = "expanded") -> DataFrame:
+    """``texts`` with ``to``: the tokens of ``column``, joined by blanks, with phrases of up to four tokens expanded, greedily from
+    the left, the longest first.
 
-    The bare word ``is`` is expanded only before a number.
+    The bare word ``is`` is expanded only before a number.  Distinct texts' phrases are joined with the dictionary, whatever
+    its size, and each text is put together from those that are found.
     """
-    # a one-element list binds the tokens, so that they are computed once
-    return F.get(F.transform(F.array(tokens), lambda bound: _expand(bound, expansions)), 0)
-
-
-def _expand(tokens: Column, expansions: dict[str, str]) -> Column:
-    of = _literal(expansions)
-    n = F.size(tokens)
-
-    def phrase(i: Column, k: int) -> Column:
-        joined = F.lower(F.array_join(F.slice(tokens, i + 1, k), " "))
-        value = F.when(i + k <= n, F.try_element_at(of, joined))
-        if k == 1:
-            number = F.coalesce(F.get(tokens, i + 1), F.lit("")).rlike(r"^[\p{Nd}]+$")
-            value = F.when((joined != "is") | number, value)
-        return value
-
-    def step(state: Column, i: Column) -> Column:
-        keep = F.get(tokens, i)
-        choice = F.struct(state["out"].alias("out"), (state["skip"] - 1).alias("skip"))
-        branch = F.when(state["skip"] > 0, choice)
-        for k in range(LONGEST_PHRASE, 0, -1):
-            found = phrase(i, k)
-            branch = branch.when(found.isNotNull(), F.struct(F.concat(state["out"], F.array(found)).alias("out"), F.lit(k - 1).alias("skip")))
-        return branch.otherwise(F.struct(F.concat(state["out"], F.array(keep)).alias("out"), F.lit(0).alias("skip")))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.aggregate(places, start, step, lambda s: s["out"]), " ")
+    distinct = texts.select(F.col(column).alias("text")).distinct().withColumn("tokens", query_tokens(F.col("text")))
+    places = distinct.where(F.size("tokens") > 0).select("text", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("i"))
+    phrases = places.select("text", "tokens", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_PHRASE), F.size("tokens") - F.col("i")))).alias("k"))
+    phrases = phrases.select("text", "i", "k", F.lower(F.array_join(F.slice("tokens", F.col("i") + 1, F.col("k")), " ")).alias("key"), F.coalesce(F.get("tokens", F.col("i") + 1), F.lit("")).rlike(r"^[\p{Nd}]+$").alias("before_number"))
+    found = phrases.join(_entries(dictionary, "expansion"), "key").where("key <> 'is' or before_number")
+    longest = found.groupBy("text", "i").agg(F.max_by(F.struct("i", "k", "value"), "k").alias("hit"))
+    hits = longest.groupBy("text").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+
+    # from the left: a hit that begins behind the last one taken is taken, with the tokens between them
+    def take(state, hit):
+        ahead = F.slice("tokens", state["at"] + 1, hit["i"] - state["at"])
+        taken = F.struct(F.concat(state["out"], ahead, F.array(hit["value"])).alias("out"), (hit["i"] + hit["k"]).alias("at"))
+        return F.when(hit["i"] >= state["at"], taken).otherwise(state)
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    whole = F.aggregate("hits", start, take, lambda s: F.concat(s["out"], F.slice("tokens", s["at"] + 1, F.size("tokens"))))
+    rows = distinct.join(hits, "text", "left").select(F.col("text").alias(column), F.array_join(F.when(F.col("hits").isNull(), F.col("tokens")).otherwise(whole), " ").alias(to))
+    return _with(texts, rows, column, to)
+
+
+def _with(texts: DataFrame, rows: DataFrame, column: str, to: str) -> DataFrame:
+    """``texts`` with the column ``to`` of ``rows``, by the text (null texts too)."""
+    named = rows.select(F.col(column).alias("_text"), F.col(to).alias("_to"))
+    return texts.join(named, texts[column].eqNullSafe(named["_text"]), "left").select(*[texts[c] for c in texts.columns if c != to], F.col("_to").alias(to))

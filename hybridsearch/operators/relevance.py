@@ -10,7 +10,7 @@ from ..functions.text import strip_fences
 from .dictionary import expand_abbreviations, fix_spellings
 
 
-def classify_queries(queries: DataFrame, expansions: dict[str, str], spellings: dict[str, str]) -> DataFrame:
+def classify_queries(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``queries`` with ``is_relevant, reason, primary_query, expanded_query, has_expansions, message``.
 
     A greeting is rejected; else the first of mixed language, a record number, a domain word or an expansion
@@ -18,8 +18,7 @@ def classify_queries(queries: DataFrame, expansions: dict[str, str], spellings:
     """
     raw = F.col("query")
     rows = queries.withColumn("primary_query", R.normalize_query(raw))
-    tokens = fix_spellings(R.query_tokens(F.col("primary_query")), spellings)
-    rows = rows.withColumn("expanded_query", expand_abbreviations(tokens, expansions))
+    rows = expand_abbreviations(fix_spellings(rows, dictionary, "primary_query", "_fixed"), dictionary, "_fixed", "expanded_query").drop("_fixed")
     primary = F.col("primary_query")
     rows = rows.withColumn("has_expansions", F.col("expanded_query") != primary).withColumn(
         "reason",

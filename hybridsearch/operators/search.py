@@ -1,11 +1,16 @@
-"""Sparse and dense top-k search for tables of queries."""
+"""Sparse and dense top-k search for tables of queries.
+
+Queries and chunks are dealt into blocks of bounded numbers; a task takes one block of each, multiplies them as matrices and
+passes on the queries' k best chunks only, so that no table of all pairs arises and nothing goes through the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,8 +20,10 @@ from ..functions.text import tokenize
 K1, B, TOP = 1.5, 0.75, 10
 #: Query terms are sent to every task up to so many rows, and joined by a shuffle otherwise.
 BROADCAST_ROWS = 1_000_000
-#: Query vectors that are scored in one pass; more queries take more passes.
-QUERY_BLOCK = 4096
+#: Queries and chunks that are scored against one another in a task.
+QUERY_BLOCK, CHUNK_BLOCK = 4096, 4096
+#: Queries that are scored at a time within a task.
+ROWS_AT_ONCE = 256
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -45,52 +52,109 @@ def top_k(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocked(queries: DataFrame, chunks: DataFrame, score: Callable[[pa.Table, pa.Table], list[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]]], k: int) -> DataFrame:
+    """The k best chunks of each query, with ``rank``.  ``score`` gives, for a block of ``queries`` (rows with ``query_id``) and one of
+    ``chunks`` (rows with ``chunk_id``), portions (query ids, their positions, chunk ids, their positions, scores)."""
+    ids = [f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("query_id", queries), ("chunk_id", chunks))]
+    kinds = [to_arrow_type(df.schema[name].dataType) for name, df in (("query_id", queries), ("chunk_id", chunks))]
+    count = lambda df, name, size: max(1, -(-df.select(name).distinct().count() // size))
+    n_queries, n_chunks = count(queries, "query_id", QUERY_BLOCK), count(chunks, "chunk_id", CHUNK_BLOCK)
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("query_block", block("query_id", n_queries)).withColumn("chunk_block", every(n_chunks))
+    stored = chunks.withColumn("chunk_block", block("chunk_id", n_chunks)).withColumn("query_block", every(n_queries))
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        parts = [pa.table({"query_id": pa.array([], kinds[0]), "chunk_id": pa.array([], kinds[1]), "score": pa.array([], pa.float64())})]
+        if len(asked) and len(stored):
+            for query_ids, i, chunk_ids, j, scores in score(asked, stored):
+                parts.append(pa.table({"query_id": query_ids.take(pa.array(i)), "chunk_id": chunk_ids.take(pa.array(j)), "score": pa.array(scores)}))
+        return pa.concat_tables(parts)
+
+    both = asked.groupBy("query_block", "chunk_block").cogroup(stored.groupBy("query_block", "chunk_block"))
+    return top_k(both.applyInArrow(run, f"{ids[0]}, {ids[1]}, score double"), k)
+
+
+def _best(product: np.ndarray, names: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest values above ``least``; values that agree to nine decimals go by name."""
+    rounded = np.round(product, 9)
+    border = np.partition(rounded, -k, axis=1)[:, -k] if rounded.shape[1] > k else np.full(len(rounded), -np.inf)
+    i, j = np.nonzero((rounded >= border[:, None]) & (product > least))
+    order = np.lexsort((names[j], -rounded[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k]
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    coded = column.combine_chunks().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def _ranks(names: pa.Array) -> np.ndarray:
+    """Places of ``names`` in ascending order, as Spark orders them."""
+    order = pc.sort_indices(names).to_numpy()
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
 def sparse_top_k(queries: DataFrame, postings: DataFrame, idf: DataFrame, stats: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, chunk_id, score, rank`` by BM25; chunks without a query term are never listed."""
-    return top_k(bm25_scores(queries, postings, idf, stats), k)
+    terms = query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    known = terms.select("term").distinct()
+    few = known.count() <= BROADCAST_ROWS
+    asked = postings.join(F.broadcast(known) if few else known, "term", "left_semi").crossJoin(F.broadcast(stats))  # a single row
+    tf, dl = F.col("tf").cast("double"), F.col("dl")
+    parts = asked.select("chunk_id", "term", (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))).alias("part"))
+
+    def score(asked: pa.Table, stored: pa.Table) -> list:
+        query_ids, q = _coded(asked["query_id"])
+        chunk_ids, c = _coded(stored["chunk_id"])
+        known, t = _coded(asked["term"])
+        of_stored = pc.index_in(stored["term"].combine_chunks(), value_set=known)
+        own, stored_term = ~np.asarray(of_stored.is_null()), of_stored.fill_null(0).to_numpy()
+        weight, part, names, out = asked["weight"].to_numpy(), stored["part"].to_numpy(), _ranks(chunk_ids), []
+        order = np.argsort(q, kind="stable")
+        q, t, weight = q[order], t[order], weight[order]
+        for lo in range(0, len(query_ids), ROWS_AT_ONCE):
+            a, b = np.searchsorted(q, [lo, lo + ROWS_AT_ONCE])
+            # only these queries' terms are columns
+            used, column = np.unique(t[a:b], return_inverse=True)
+            place = np.full(len(known), -1)
+            place[used] = np.arange(len(used))
+            some = own & (place[stored_term] >= 0)
+            left, right = np.zeros((min(ROWS_AT_ONCE, len(query_ids) - lo), len(used))), np.zeros((len(used), len(chunk_ids)))
+            in_left, in_right = (q[a:b] - lo, column), (place[stored_term[some]], c[some])
+            left[in_left], right[in_right] = weight[a:b], part[some]
+            product = left @ right
+            # a chunk that shares a term is listed whatever its score
+            left[in_left] = right[in_right] = 1
+            shares = left.astype(np.float32) @ right.astype(np.float32) > 0
+            i, j = _best(np.where(shares, product, -np.inf), names, k)
+            out.append((query_ids, lo + i, chunk_ids, j, product[i, j]))
+        return out
+
+    return _blocked(terms, parts, score, k)
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, chunk_id, score, rank``: exact largest inner products of ``queries(query_id, embedding)`` and
-    ``vectors(chunk_id, embedding)``.
-
-    Query vectors go out in blocks; each batch of vectors is multiplied with a block and passes on the block's k best
-    only, so no table of all pairs arises.
-    """
-    chunk_id = vectors.schema["chunk_id"].dataType.simpleString()
-    query_id = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_id}, chunk_id {chunk_id}, score double"
-    id_type = to_arrow_type(queries.schema["query_id"].dataType)
-    out, block = None, []
-
-    def scored(block: list) -> DataFrame:
-        ids = [q for q, _ in block]
-        matrix = np.array([v for _, v in block], dtype=np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = np.array(batch.column("embedding").to_pylist(), dtype=np.float64)
-                product = np.round(matrix @ own.T, 9)
-                names = np.array(batch.column("chunk_id").to_pylist())
-                for lo in range(0, len(ids), 256):
-                    rows = product[lo : lo + 256]
-                    # all that reach the k-th best, ties included
-                    least = np.partition(rows, -k, axis=1)[:, -k] if rows.shape[1] > k else np.full(len(rows), -np.inf)
-                    i, j = np.nonzero(rows >= least[:, None])
-                    order = np.lexsort((names[j], -rows[i, j], i))
-                    i, j = i[order], j[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j = i[place < k], j[place < k]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[lo + x] for x in i], type=id_type), "chunk_id": batch.column("chunk_id").take(pa.array(j)), "score": pa.array(rows[i, j])})
-
-        return vectors.select("chunk_id", "embedding").mapInArrow(run, schema)
-
-    for row in queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id").toLocalIterator():
-        block.append((row["query_id"], row["embedding"]))
-        if len(block) == QUERY_BLOCK:
-            out, block = scored(block) if out is None else out.unionByName(scored(block)), []
-    if block:
-        out = scored(block) if out is None else out.unionByName(scored(block))
-    return top_k(queries.sparkSession.createDataFrame([], schema) if out is None else out, k)
+    ``vectors(chunk_id, embedding)``; rows without a vector take no part."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        lists = column.combine_chunks()
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+    def score(asked: pa.Table, stored: pa.Table) -> list:
+        query_ids, chunk_ids = asked["query_id"].combine_chunks(), stored["chunk_id"].combine_chunks()
+        left, right, names, out = matrix(asked["query_vector"]), matrix(stored["chunk_vector"]).T, _ranks(chunk_ids), []
+        for lo in range(0, len(left), ROWS_AT_ONCE):
+            product = left[lo : lo + ROWS_AT_ONCE] @ right
+            i, j = _best(product, names, k)
+            out.append((query_ids, lo + i, chunk_ids, j, product[i, j]))
+        return out
+
+    own = lambda df, name, to: df.where("embedding is not null").select(name, F.col("embedding").alias(to))
+    # other names, so that a table may be searched with its own rows
+    return _blocked(own(queries, "query_id", "query_vector"), own(vectors, "chunk_id", "chunk_vector"), score, k)

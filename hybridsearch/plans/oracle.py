@@ -113,14 +113,20 @@ def numbered(c: str) -> str:
 
 def fallback(sid: str, title: str, text: str) -> str:
     snippet = trim_ws(f"substring(coalesce({text}, ''), 1, 120)")
-    said = ". It defines specifications, test methods and quality criteria that apply to the product or process asked about."
-    return f"coalesce({sid}, '') || ' specifies requirements for ' || coalesce({title}, 'this standard') || {_q(said)} || CASE WHEN {snippet} <> '' THEN ' It covers: ' || {snippet} || '...' ELSE '' END"
+    return f"'Found for this query: ' || coalesce({sid}, '') || ' [' || coalesce({title}, '') || '] ' || {snippet}"
 
 
 def fences(c: str) -> str:
     return _rx(_rx(trim_ws(c), f"^```json{_S}*", ""), f"{_S}*```$", "")
 
 
+def _vectors(key: str, text: str, rows: str) -> str:
+    """``key, v``: the hashed token counts of a text, of length one."""
+    counts = f"SELECT {key}, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {key}, unnest({tokens(text)}) AS term FROM {rows}) GROUP BY ALL"
+    places = f"SELECT {key}, unnest(range(64)) AS dim FROM {rows}"
+    return f"SELECT {key}, list(x / greatest(norm, 1e-9) ORDER BY dim) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY {key})) AS norm FROM (SELECT {key}, dim, coalesce(n, 0.0) AS x FROM ({places}) LEFT JOIN ({counts}) USING ({key}, dim))) GROUP BY {key}"
+
+
 _RELEVANT = f"(coalesce(NOT ({bare('query')} IN ({_words(R.GREETINGS)[1:-1]})) AND {has_any(bare('query'), R.HINTS)}, false))"
 _FALLBACK_MESSAGE = f"CASE WHEN {bare('query')} IN ({_words(R.GREETINGS)[1:-1]}) THEN {_q(R.GREETED)} WHEN {has_any(bare('query'), R.HINTS)} THEN '' ELSE {_q(R.REJECTED)} END"
 _HEAD = T.HEADING.replace("(?:", "(?:")
@@ -153,8 +159,8 @@ CTES = {
     "idf": "SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw_idf) ELSE raw END AS idf FROM raw_idf",
     "bench_terms": f"SELECT query_id, term, count(*) AS qtf FROM (SELECT 'B-' || item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark) GROUP BY ALL",
     "scores": "SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM postings JOIN bench_terms USING (term) JOIN idf USING (term), stats GROUP BY ALL",
-    "asked": f"SELECT query_id, query FROM queries WHERE query_id LIKE 'B-%' AND {_RELEVANT}",
-    "rejected": f"SELECT query_id, query, {_FALLBACK_MESSAGE} AS message FROM queries WHERE query_id LIKE 'B-%' AND NOT {_RELEVANT}",
+    "asked": f"SELECT query_id, query FROM queries WHERE {_RELEVANT}",
+    "rejected": f"SELECT query_id, query, {_FALLBACK_MESSAGE} AS message FROM queries WHERE NOT {_RELEVANT}",
     "asked_terms": f"SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens('query')}) AS term FROM asked) GROUP BY ALL",
     "chunk_tokens": f"SELECT seq AS chunk_id, {tokens('text')} AS t FROM records",
     "chunk_postings": "SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM chunk_tokens) GROUP BY chunk_id, term",
@@ -162,7 +168,9 @@ CTES = {
     "chunk_raw_idf": "SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM chunk_postings GROUP BY term), chunk_stats",
     "chunk_idf": "SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM chunk_raw_idf) ELSE raw END AS idf FROM chunk_raw_idf",
     "sparse": "SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM chunk_postings JOIN asked_terms USING (term) JOIN chunk_idf USING (term), chunk_stats GROUP BY ALL)) WHERE rank <= 10",
-    "dense": "SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT a.query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM asked a JOIN embeddings q ON a.query_id = 'B-' || q.vec_id, embeddings v WHERE v.vec_id IN (SELECT seq FROM records))) WHERE rank <= 10",
+    "chunk_vectors": _vectors("seq", "text", "records"),
+    "query_vectors": _vectors("query_id", "query", "asked"),
+    "dense": "SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT query_id, seq AS chunk_id, list_inner_product(q.v, c.v) AS score FROM query_vectors q, chunk_vectors c)) WHERE rank <= 10",
     "fused": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rrf_rank FROM (SELECT query_id, chunk_id, d.rank AS dense_rank, s.rank AS sparse_rank, coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0) AS rrf_score FROM dense d FULL JOIN sparse s USING (query_id, chunk_id))",
     "candidates": f"SELECT query_id, chunk_id, rrf_rank, standard_id, title, page_number, text, {part_of_id('standard_id')} AS part_number FROM fused JOIN records ON chunk_id = seq WHERE rrf_rank <= 10",
     "prioritised": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN want IS NULL OR part_number = want THEN 0 WHEN part_number IS NULL THEN 1 ELSE 2 END, rrf_rank) AS rank FROM (SELECT c.*, query, {part_of_query('query')} AS want FROM candidates c JOIN asked USING (query_id))",
@@ -173,10 +181,11 @@ CTES = {
     "listed": "SELECT query_id, string_agg(standard_id, '|' ORDER BY rank) AS retrieved FROM hydrated GROUP BY query_id",
     "batch": "SELECT query_id, coalesce(retrieved, '') AS retrieved, '' AS message FROM asked LEFT JOIN listed USING (query_id) UNION ALL SELECT query_id, '', message FROM rejected",
     "answers": f"SELECT query_id, rank, standard_id, title, page_number, {fallback('standard_id', 'title', 'text')} AS rationale FROM hydrated",
+    "golden": f"SELECT query_id, [{eval_id('x')} for x in ids] AS e, CASE WHEN retrieved = '' THEN [] ELSE [{eval_id('x')} for x in string_split(retrieved, '|')] END AS r FROM batch JOIN (SELECT 'B-' || item_id AS query_id, list(DISTINCT standard_id) AS ids FROM benchmark b JOIN records d ON contains(d.text, b.text) GROUP BY ALL) USING (query_id)",
     "hits": f"SELECT *, [{eval_id('x')} for x in exp] AS e, [{eval_id('x')} for x in ret] AS r FROM results",
     "ranks": "SELECT query_id, latency_seconds, list_has_any(r[1:3], e) AS hit, coalesce(1.0 / list_min(list_filter(range(1, least(len(r), 5) + 1), lambda i: list_contains(e, r[i]))), 0) AS rr FROM hits",
     "metrics": "SELECT count(*) AS total, 100 * avg(CAST(hit AS INTEGER)) AS hit_rate_3, avg(rr) AS mrr_5, avg(coalesce(latency_seconds, 0)) AS avg_latency FROM ranks HAVING count(*) > 0",
-    "dictionary": "SELECT * FROM (VALUES ('expansion', 'opc', 'Ordinary Cement'), ('expansion', 'ppc', 'Portland Pozzolana Cement'), ('expansion', 'is', 'Indian Standard'), ('expansion', 'fly ash', 'FA'), ('expansion', 'the', 'the said'), ('expansion', 'opc 43 fly ash', 'OPC with FA'), ('expansion', 'ash', 'residue'), ('expansion', 'tmt', 'thermo mechanically treated'), ('expansion', 'tmt bars', 'thermo mechanically treated'), ('spelling', 'cemnt', 'cement'), ('spelling', 'cemant', 'cement'), ('spelling', 'stel', 'steel')) t(kind, key, value)",
+    "dictionary": "SELECT * FROM (VALUES ('expansion', 'opc', 'Ordinary Cement'), ('expansion', 'ppc', 'Portland Pozzolana Cement'), ('expansion', 'is', 'Indian Standard'), ('expansion', 'fly ash', 'FA'), ('expansion', 'the', 'the said'), ('expansion', 'opc 43 fly ash', 'OPC with FA'), ('expansion', 'ash', 'residue'), ('expansion', 'tmt', 'thermo mechanically treated'), ('expansion', 'tmt bars', 'thermo mechanically treated'), ('expansion', 'thha', '[last] of two'), ('expansion', 'an', 'an {object}'), ('spelling', 'cemnt', 'cement'), ('spelling', 'cemant', 'cement'), ('spelling', 'stel', 'steel')) t(kind, key, value)",
     "spellings": "SELECT MAP(list(key), list(value)) AS m FROM dictionary WHERE kind = 'spelling'",
     "expansions": "SELECT MAP(list(key), list(value)) AS m FROM dictionary WHERE kind = 'expansion'",
     "corrected": f"SELECT query_id, query, norm, [coalesce(m[w], w) for w in {query_tokens('norm')}] AS t FROM (SELECT query_id, query, {norm_query('query')} AS norm FROM queries), spellings",
@@ -222,9 +231,9 @@ def _value(f: str) -> str:
 
 _QUERIES = {
     "pages_to_lines": f"SELECT * FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS page_line, {trim_ws('unnest(string_split(text, chr(10)))')} AS text FROM documents) WHERE text <> ''",
-    "read_chunks": "SELECT standard_id, title, length(text) AS n_chars, page_number, category, source FROM chunks_raw",
-    "write_chunks": "SELECT standard_id, title, length(text) AS n_chars, (SELECT count(*) FROM children c WHERE c.standard_id = p.standard_id) AS n_children FROM parents p",
-    "read_queries": "SELECT query_id, query FROM queries WHERE query_id LIKE 'B-%'",
+    "read_chunks": "SELECT standard_id, title, md5(text) AS text_md5, page_number, category, source FROM chunks_raw",
+    "write_chunks": "SELECT standard_id, title, md5(text) AS text_md5, (SELECT count(*) FROM children c WHERE c.standard_id = p.standard_id) AS n_children FROM parents p",
+    "read_queries": "SELECT query_id, query FROM queries",
     "write_results": "SELECT query_id AS id, exp[1] AS expected, array_to_string(ret, '|') AS retrieved, round(latency_seconds, 8) AS latency FROM results",
     "read_dictionary": f"SELECT kind, key, value, coalesce(n_docs, 0) AS n_docs FROM dictionary LEFT JOIN (SELECT key, count(*) AS n_docs FROM (SELECT unnest(list_distinct({tokens('text')})) AS key FROM documents) GROUP BY key) USING (key)",
     "normalize_standard_id": f"SELECT seq, {norm_id('standard_id')} AS standard_id FROM chunks_raw",
@@ -239,7 +248,7 @@ _QUERIES = {
     "extract_query_part": f"SELECT query_id, {part_of_query('query')} AS part FROM queries",
     "normalize_eval_id": f"SELECT seq, rank, {eval_id('retrieved')} AS id FROM result_rows",
     "segment_lines": "SELECT * FROM segments",
-    "dedup_keep_longest": "SELECT standard_id, seq, first_seq, title, length(text) AS n_chars FROM parents",
+    "dedup_keep_longest": "SELECT standard_id, seq, first_seq, title, md5(text) AS text_md5 FROM parents",
     "dedup_report": "SELECT (SELECT count(*) FROM records) AS n_raw, count(*) AS n_unique, count(*) FILTER (length(text) >= 50) AS n_valid, count(*) FILTER (length(text) < 50) AS n_dropped FROM longest",
     "create_child_chunks": f"SELECT seq, window_no, {prefix('standard_id', 'title', 'category')} || array_to_string(s[2 * window_no + 1 : 2 * window_no + 4], ' ') AS text FROM record_windows",
     "prepare_corpus": "SELECT standard_id, window_no, title, category, page_number, raw_window FROM children",
@@ -263,25 +272,26 @@ FROM (SELECT *, length(query) % 5 AS k, {_RELEVANT} AS fb, {_FALLBACK_MESSAGE} A
     "encode_text": "SELECT chunk_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 6) AS x FROM (SELECT chunk_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, CAST(sum(tf) AS DOUBLE) AS n FROM postings GROUP BY ALL)",
     "bm25_scores": "SELECT query_id, chunk_id, round(score, 6) AS score FROM scores",
     "sparse_top_k": "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores) WHERE rank <= 10",
-    "dense_top_k": "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 50 <> 0)) WHERE rank <= 10",
+    "dense_top_k": "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 10",
     "l2_normalize": "SELECT vec_id AS chunk_id, unnest(range(len(e))) AS dim, round(unnest([x / greatest(sqrt(list_inner_product(e, e)), 1e-9) for x in e]), 6) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
     "rrf_fusion": "SELECT query_id, chunk_id, rrf_rank, round(rrf_score, 6) AS rrf_score FROM fused",
     "build_candidates": "SELECT query_id, chunk_id, rrf_rank, standard_id, title, page_number, part_number FROM candidates",
     "part_priority": "SELECT query_id, chunk_id, standard_id, rank FROM prioritised",
     "rerank": "SELECT query_id, chunk_id, standard_id, rank FROM reranked WHERE rank <= 10",
     "dedup_results": "SELECT query_id, chunk_id, standard_id, rank FROM deduped",
-    "hydrate_parents": "SELECT query_id, rank, standard_id, title, length(text) AS n_chars, page_number FROM hydrated",
-    "retrieve": "SELECT query_id, rank, standard_id, title, length(text) AS n_chars, page_number FROM hydrated",
+    "hydrate_parents": "SELECT query_id, rank, standard_id, title, md5(text) AS text_md5, page_number FROM hydrated",
+    "retrieve": "SELECT query_id, rank, standard_id, title, md5(text) AS text_md5, page_number FROM hydrated",
     "batch_retrieve": "SELECT * FROM batch",
     "recommend_stream": "SELECT * FROM batch",
     "fallback_rationale": f"SELECT seq, {fallback('standard_id', 'title', 'text')} AS rationale FROM chunks_raw",
     "standards_block": "SELECT * FROM blocks",
     "build_prompts": f"SELECT query_id, replace(replace({_q(PROMPT)}, '{{query}}', query), '{{standards_block}}', standards_block) AS prompt FROM blocks JOIN asked USING (query_id)",
     "parse_rationale_response": "SELECT seq AS query_id, seq % 4 IN (0, 3) AS is_valid, CASE seq % 4 WHEN 0 THEN 'A=later' WHEN 3 THEN 'B=' || category ELSE '' END AS rationales FROM chunks_raw",
-    "merge_rationales": "SELECT query_id, rank, standard_id, CASE WHEN rank = 1 AND CAST(substr(query_id, 3) AS INTEGER) % 2 = 0 THEN 'because' ELSE rationale END AS rationale FROM answers",
+    "merge_rationales": "SELECT query_id, rank, standard_id, CASE WHEN rank = 1 AND ascii(right(query_id, 1)) % 2 = 0 THEN 'because' ELSE rationale END AS rationale FROM answers",
     "generate_rationales": "SELECT query_id, rank, standard_id, rationale FROM answers",
     "format_response": "SELECT query_id, rank, standard_id, coalesce(title, '') AS title, coalesce(page_number, 0) AS page_number, rationale FROM answers",
     "recommend": "SELECT query_id, rank, standard_id, coalesce(title, '') AS title, coalesce(page_number, 0) AS page_number, rationale, '' AS message FROM answers UNION ALL SELECT query_id, NULL, NULL, NULL, NULL, NULL, message FROM rejected",
+    "golden_set": "SELECT count(*) AS total, round(100 * avg(CAST(list_has_any(r[1:3], e) AS INTEGER)), 6) AS hit_rate_3, round(avg(coalesce(1.0 / list_min(list_filter(range(1, least(len(r), 5) + 1), lambda i: list_contains(e, r[i]))), 0)), 6) AS mrr_5 FROM golden HAVING count(*) > 0",
     "hit_at_k": "SELECT query_id, hit FROM ranks",
     "reciprocal_rank": "SELECT query_id, round(rr, 6) AS rr FROM ranks",
     "evaluate_results": "SELECT total, round(hit_rate_3, 6) AS hit_rate_3, round(mrr_5, 6) AS mrr_5, round(avg_latency, 6) AS avg_latency FROM metrics",

@@ -27,6 +27,12 @@ def index_chunks(chunks: DataFrame, parents: DataFrame, vectors: DataFrame) -> S
     return SearchIndex(chunks, parents, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats, vectors)
 
 
+def encode_queries(queries: DataFrame, encoder: Callable | None = None) -> DataFrame:
+    """``query_id, embedding`` of ``queries(query_id, query)``, by the encoder of :func:`build_index`."""
+    texts = queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))
+    return index.encode_text(texts, encoder).withColumnRenamed("chunk_id", "query_id")
+
+
 def retrieve(queries: DataFrame, store: SearchIndex, query_vectors: DataFrame, top_k: int = 5, rerank: bool = False, scorer: Callable | None = None) -> DataFrame:
     """``query_id, rank, standard_id, title, text, page_number`` for the relevant of ``queries(query_id, query)``.
 

@@ -43,9 +43,9 @@ FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey"""
 
 #: Dictionary sections: seq, section, JSON body.
 DICTIONARY = [
-    (0, "cement_types", '{"OPC": "Ordinary Portland Cement", "ppc": "Portland Pozzolana Cement", "is": "Indian Standard", "note": ["not text"]}'),
+    (0, "cement_types", '{"OPC": "Ordinary Portland Cement", "ppc": "Portland Pozzolana Cement", "is": "Indian Standard", "note": ["not text"], "one": 1, "yes": true, "none": null, "Thha": "first", "thha": "[last] of two", "AN": "an {object}"}'),
     (1, "cement_admixtures_scm", '{"fly ash": "FA", "the": "the said", "opc 43 fly ash": "OPC with FA", "ash": "residue"}'),
-    (2, "common_abbreviations", '{"thermo_mechanically_treated": ["tmt", "TMT bars"], "Ordinary_Cement": ["OPC"]}'),
+    (2, "common_abbreviations", '{"thermo_mechanically_treated": ["tmt", "TMT bars"], "Ordinary_Cement": ["OPC", 5, null], "text": "tmt"}'),
     (3, "spelling_variants", '{"cement": ["cemnt", "Cemant"], "steel": ["stel"]}'),
     (4, "_comment", '{"x": "y"}'),
     (5, "unknown", '{"z": "w"}'),
@@ -89,7 +89,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ID = f"'IS ' || {_T('(doc_id % 500)')} || ': ' || {_T('(1960 + line_no % 40)')}"
-LINE = f"CASE WHEN line_no % 14 = 0 THEN {_ID} || ' ' || substring(line, 1, 30) WHEN line_no % 14 = 7 THEN {_ID} WHEN line_no % 11 = 3 THEN 'as per IS 456: 2000 ' || line ELSE line END"
+LINE = f"CASE WHEN line_no % 28 = 14 THEN '🙂🙂🙂🙂🙂🙂 ' || {_ID} || ' ' || substring(line, 1, 30) WHEN line_no % 14 = 0 THEN {_ID} || ' ' || substring(line, 1, 30) WHEN line_no % 14 = 7 THEN {_ID} WHEN line_no % 11 = 3 THEN 'as per IS 456: 2000 ' || line ELSE line END"
 
 
 def dictionary_sections(spark: SparkSession) -> DataFrame:
@@ -98,9 +98,3 @@ def dictionary_sections(spark: SparkSession) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
-
-
-def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query ``B-j`` has the vector j."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id")
-    return vectors(spark, sf_dir).join(items, F.col("chunk_id") == F.col("item_id")).select(F.concat(F.lit("B-"), F.col("item_id").cast("string")).alias("query_id"), "embedding")

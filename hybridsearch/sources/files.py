@@ -16,8 +16,15 @@ DEFAULT_SOURCE = "unknown"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session names none, a temporary folder serves a session on one machine; a cluster must name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.gettempdir()
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

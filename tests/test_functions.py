@@ -35,7 +35,7 @@ def test_titles(spark):
 def test_headings(spark):
     lines = ["IS 269: 1989 Cement", "0123456789IS 1: 2000", "1234567890 IS 1: 2000", "IS 1: 2000 " + "ab " * 49 + "ab", "IS 1: 2000 " + "ab " * 50, "IS 1: 2000 7", "IS 1: 2000 as per code", "is 5 (part 2) : 1999", "xIS 1: 2000", "IS 1: 20001"]
     assert apply(spark, T.is_real_heading, lines) == [True, False, False, True, False, False, False, True, False, False]
-    assert apply(spark, T.heading_start, lines[:3]) == [0, -1, 11]
+    assert apply(spark, T.heading_start, lines[:3]) == [0, -1, 11] and apply(spark, T.heading_start, ["🙂 IS 269: 1989 x", "é🙂🙂 IS 1: 2000"]) == [2, 4] and apply(spark, T.heading_tail, ["🙂 IS 269: 1989 x"]) == [" x"]
 
 
 def test_parts(spark):
@@ -71,18 +71,21 @@ def expand_model(tokens, known):
     return " ".join(out)
 
 
-def test_expand_abbreviations_equals_a_loop(spark):
+def test_expand_abbreviations_equals_a_loop(spark, monkeypatch):
     known = {"a": "A1", "a b": "AB", "b c d": "BCD", "a b c d": "ABCD", "is": "Indian Standard", "d d": "DD"}
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["a", "b", "c", "d", "is", "7", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
-    got = apply(spark, lambda c: dictionary.expand_abbreviations(R.query_tokens(c), known), texts)
-    assert got == [expand_model(t.split(), known) for t in texts]
-    assert apply(spark, lambda c: dictionary.expand_abbreviations(R.query_tokens(c), {}), ["a b"]) == ["a b"]
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], None])], "query_id int, query string")
+    entries = spark.createDataFrame([("expansion", k, v) for k, v in known.items()] + [("spelling", "x", "y")], "kind string, key string, value string")
+    for limit in (dictionary.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(dictionary, "BROADCAST_BYTES", limit)
+        got = {r.query_id: (r.expanded, r.fixed) for r in dictionary.fix_spellings(dictionary.expand_abbreviations(queries, entries), entries).collect()}
+        assert got == {i: (expand_model(t.split(), known), " ".join("y" if w == "x" else w for w in t.split())) for i, t in enumerate([*texts, texts[0]])} | {len(texts) + 1: (None, None)}
 
 
 def test_classification_reasons(spark):
     queries = spark.createDataFrame([(i, q) for i, q in enumerate(["hello", "batao code", "x is 269", "steel rods", "opc 43", "zzz"])], "query_id int, query string")
-    rows = relevance.classify_queries(queries, {"opc": "Ordinary Portland Cement"}, {}).orderBy("query_id").collect()
+    rows = relevance.classify_queries(queries, spark.createDataFrame([("expansion", "opc", "Ordinary Portland Cement")], "kind string, key string, value string")).orderBy("query_id").collect()
     assert [r.reason for r in rows] == ["greeting", "mixed language", "number", "keyword", "expansion", "rejected"]
     assert rows[4].expanded_query == "Ordinary Portland Cement 43" and rows[5].primary_query == ""
 
@@ -163,6 +166,8 @@ def test_dense_top_k_in_blocks(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "CHUNK_BLOCK", 60)
+    monkeypatch.setattr(search, "ROWS_AT_ONCE", 2)
     r = np.random.default_rng(0)
     v, q = r.normal(size=(200, 8)), r.normal(size=(7, 8))
     own = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id int, embedding array<double>").repartition(5)
@@ -178,7 +183,7 @@ def test_plugins(spark):
     asked = spark.createDataFrame([("q", "why")], "query_id string, query string")
     answer = '```json\n[{"standard_id": "B", "rationale": "first"}, {"standard_id": "B", "rationale": "because"}]\n```'
     got = {r.standard_id: r.rationale for r in enrich.generate_rationales(results, asked, lambda: lambda prompts: [answer for _ in prompts]).collect()}
-    assert got["B"] == "because" and got["A"].startswith("A specifies")
+    assert got["B"] == "because" and got["A"] == "Found for this query: A [t] x"
 
 
 def test_evaluation(spark):
@@ -196,7 +201,26 @@ def test_plans(spark):
     asked = spark.createDataFrame([(1, "w1 x")], "query_id int, search_query string")
     found = search.sparse_top_k(asked, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "Python" not in plan and "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+    assert "CartesianProduct" not in plan and "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+
+
+def test_sparse_top_k_equals_all_scores(spark, monkeypatch):
+    """In blocks, and with ties, repeated words, and terms whose weight is zero or below."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "CHUNK_BLOCK", 9)
+    monkeypatch.setattr(search, "ROWS_AT_ONCE", 2)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(25)] + ["the"] * 12
+    rows = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 15)))) for i in range(60)], "chunk_id int, text string")
+    postings, stats = index.term_frequencies(rows), index.corpus_stats(rows)
+    idf = index.bm25_idf(index.document_frequencies(postings), stats).replace(0.0, 0.0)
+    idf = idf.withColumn("idf", F.when(F.col("term") == "w3", 0.0).otherwise(F.col("idf")))
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words) for _ in range(5))) for i in range(11)] + [("none", "zzz"), ("null", None), ("w3", "w3")], "query_id string, search_query string")
+    want = search.top_k(search.bm25_scores(asked, postings, idf, stats), 4).collect()
+    got = search.sparse_top_k(asked, postings, idf, stats, 4).collect()
+    key = lambda r: (r.query_id, r.rank)
+    assert [(*key(r), r.chunk_id) for r in sorted(got, key=key)] == [(*key(r), r.chunk_id) for r in sorted(want, key=key)]
+    assert [r.score for r in sorted(got, key=key)] == pytest.approx([r.score for r in sorted(want, key=key)])
 
 
 def test_rerank_with_a_scorer(spark):
