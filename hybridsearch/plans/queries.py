@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import relevance as R
 from ..functions import text as T
@@ -102,8 +103,8 @@ def write_results(spark, sf):
 def build_index(spark, sf):
     path = files.shared_path(spark, "index")
     parents, children = corpus.prepare_corpus(views.chunks_raw(spark, sf))
-    files.save_index(plans.build_index(parents, children), path)
-    store = files.load_index(spark, path)
+    chunks = plans.identified(corpus.select_index_chunks(parents, children))
+    store = plans.write_index(chunks, parents, index.encode_text(chunks), path)
     return store.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).join(store.idf.select("term", F.round("idf", 6).alias("idf")), "term")
 
 
@@ -325,13 +326,22 @@ def l2_normalize(spark, sf):
     return rows.select("chunk_id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
 
 
-def _store(spark, sf):
-    """The index of all records, each with the vector of its text."""
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark: SparkSession, sf: str):
+    """The index of all records, each with the vector of its text; made once a session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _STORES:
+        try:
+            return files.load_index(spark, _STORES[key])
+        except AnalysisException:  # its folder has gone
+            del _STORES[key]
     records = files.materialize(_records(spark, sf), "records")
-    chunks = records.withColumn("chunk_id", F.col("seq"))
-    path = files.shared_path(spark, "index")
-    files.save_index(plans.index_chunks(chunks, corpus.dedup_keep_longest(records), index.encode_text(chunks.select("chunk_id", "text"))), path)
-    return files.load_index(spark, path)
+    chunks, path = records.withColumn("chunk_id", F.col("seq")), files.shared_path(spark, "index")
+    store = plans.write_index(chunks, corpus.dedup_keep_longest(records), index.encode_text(chunks.select("chunk_id", "text")), path)
+    _STORES[key] = path
+    return store
 
 
 def _asked(spark, sf):
@@ -343,7 +353,7 @@ def _query_vectors(spark, sf):
 
 
 def _fused(spark, sf):
-    store, asked = _store(spark, sf), relevance_ops.relevance_fallback(_asked(spark, sf)).where("is_relevant")
+    store, asked = search_index(spark, sf), relevance_ops.relevance_fallback(_asked(spark, sf)).where("is_relevant")
     dense = search.dense_top_k(_query_vectors(spark, sf).join(asked, "query_id", "left_semi"), store.vectors)
     return store, asked, files.materialize(fusion.rrf_fusion(dense, search.sparse_top_k(asked, store.postings, store.idf, store.stats)), "fused")
 
@@ -400,12 +410,12 @@ def hydrate_parents(spark, sf):
 
 @_query
 def retrieve(spark, sf):
-    return _found(plans.retrieve(_asked(spark, sf), _store(spark, sf), _query_vectors(spark, sf)))
+    return _found(plans.retrieve(_asked(spark, sf), search_index(spark, sf), _query_vectors(spark, sf)))
 
 
 @_query
 def batch_retrieve(spark, sf):
-    rows = plans.batch_retrieve(_asked(spark, sf), _store(spark, sf), _query_vectors(spark, sf))
+    rows = plans.batch_retrieve(_asked(spark, sf), search_index(spark, sf), _query_vectors(spark, sf))
     return rows.select("query_id", F.array_join("retrieved_standards", "|").alias("retrieved"), "message")
 
 
@@ -414,7 +424,7 @@ def recommend_stream(spark, sf):
     """The queries written as files, streamed through the index, and the sink read back."""
     source, sink, marks = (files.shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-marks"))
     _asked(spark, sf).write.json(source)
-    start_stream(spark, source, sink, marks, _store(spark, sf), plans.encode_queries).awaitTermination()
+    start_stream(spark, source, sink, marks, search_index(spark, sf), plans.encode_queries).awaitTermination()
     return spark.read.parquet(sink).select("query_id", F.array_join("retrieved_standards", "|").alias("retrieved"), "message")
 
 
@@ -422,7 +432,7 @@ def recommend_stream(spark, sf):
 
 
 def _results(spark, sf):
-    return files.materialize(plans.retrieve(_asked(spark, sf), _store(spark, sf), _query_vectors(spark, sf)), "results")
+    return files.materialize(plans.retrieve(_asked(spark, sf), search_index(spark, sf), _query_vectors(spark, sf)), "results")
 
 
 @_query
@@ -480,7 +490,7 @@ def format_response(spark, sf):
 
 @_query
 def recommend(spark, sf):
-    rows = plans.recommend(_asked(spark, sf), _store(spark, sf), _query_vectors(spark, sf))
+    rows = plans.recommend(_asked(spark, sf), search_index(spark, sf), _query_vectors(spark, sf))
     return rows.select("query_id", F.col("rank").cast("bigint").alias("rank"), "standard_id", "title", "page_number", "rationale", "message")
 
 
@@ -490,7 +500,7 @@ def recommend(spark, sf):
 @_query
 def golden_set(spark, sf):
     """Retrieval for benchmark items, measured: expected are the ids of records that hold the item's text."""
-    store, asked = _store(spark, sf), _asked(spark, sf).where("query_id LIKE 'B-%'")
+    store, asked = search_index(spark, sf), _asked(spark, sf).where("query_id LIKE 'B-%'")
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.concat(F.lit("B-"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("item"))
     # an item is looked for where its longest word is
     words = items.select("query_id", "item", F.explode(F.array_distinct(T.tokenize(F.col("item")))).alias("term")).groupBy("query_id", "item").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))

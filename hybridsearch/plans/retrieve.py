@@ -9,24 +9,38 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, enrich, fusion, index, search
 from ..operators.relevance import relevance_fallback
-from ..sources.files import SearchIndex, materialize
+from ..sources.files import SearchIndex, clustered, load_index, materialize, save_index
 
 
 def build_index(parents: DataFrame, children: DataFrame, encoder: Callable | None = None) -> SearchIndex:
     """The index of what :func:`corpus.select_index_chunks` gives; a chunk's id is its record's id and window number."""
-    chunks = corpus.select_index_chunks(parents, children)
-    window = F.col("window_no") if "window_no" in chunks.columns else F.lit(0)
-    chunks = chunks.withColumn("chunk_id", F.concat_ws("#", "standard_id", window))
+    chunks = identified(corpus.select_index_chunks(parents, children))
     return index_chunks(chunks, parents, index.encode_text(chunks, encoder))
 
 
+def identified(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``chunk_id``."""
+    window = F.col("window_no") if "window_no" in chunks.columns else F.lit(0)
+    return chunks.withColumn("chunk_id", F.concat_ws("#", "standard_id", window))
+
+
 def index_chunks(chunks: DataFrame, parents: DataFrame, vectors: DataFrame) -> SearchIndex:
     """An index of chunks that have ids and vectors already.  Postings are written once, for the statistics on them."""
-    postings = materialize(index.term_frequencies(chunks), "postings")
+    postings = materialize(clustered(index.term_frequencies(chunks)), "postings")
     stats = index.corpus_stats(chunks)
     return SearchIndex(chunks, parents, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats, vectors)
 
 
+def write_index(chunks: DataFrame, parents: DataFrame, vectors: DataFrame, path: str) -> SearchIndex:
+    """The same index, written to ``path`` as it is made: postings once, clustered by term, and the statistics from what was written."""
+    spark = chunks.sparkSession
+    empty = SearchIndex(chunks, parents, clustered(index.term_frequencies(chunks)), None, None, vectors)
+    save_index(empty, path)
+    postings, stats = spark.read.parquet(f"{path}/postings"), index.corpus_stats(spark.read.parquet(f"{path}/chunks"))
+    save_index(SearchIndex(None, None, None, index.bm25_idf(index.document_frequencies(postings), stats), stats, None), path)
+    return load_index(spark, path)
+
+
 def encode_queries(queries: DataFrame, encoder: Callable | None = None) -> DataFrame:
     """``query_id, embedding`` of ``queries(query_id, query)``, by the encoder of :func:`build_index`."""
     texts = queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))

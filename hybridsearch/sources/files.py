@@ -94,13 +94,16 @@ class SearchIndex:
     vectors: DataFrame
 
 
+def clustered(postings: DataFrame) -> DataFrame:
+    """Postings clustered and sorted by term, so that searches skip row groups; a very common term's are dealt over eight tasks."""
+    return postings.repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("term")
+
+
 def save_index(index: SearchIndex, path: str) -> None:
-    """Write an index as Parquet; postings are clustered and sorted by term, so that searches skip row groups."""
+    """Write an index as Parquet; tables that are None are left as they are in ``path``."""
     for f in fields(index):
-        table = getattr(index, f.name)
-        if f.name == "postings":
-            table = table.repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("term")
-        table.write.mode("overwrite").parquet(f"{path}/{f.name}")
+        if (table := getattr(index, f.name)) is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{f.name}")
 
 
 def load_index(spark: SparkSession, path: str) -> SearchIndex:
