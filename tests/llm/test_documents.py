@@ -68,6 +68,30 @@ def test_place_keeps_all_rows(spark, table):
     assert sharding.place(df.limit(0), 4, 53).count() == 0
 
 
+def test_a_shard_that_goes_moves_few_records_of_the_others(spark):
+    names = [f"shard-{i}" for i in range(8)]
+    before = {r.slot: names[r.shard] for r in sharding.lookup_table(spark, names, 503).collect()}
+    rest = [n for n in names if n != "shard-3"]
+    after = {r.slot: rest[r.shard] for r in sharding.lookup_table(spark, rest, 503).collect()}
+    held = [s for s, n in before.items() if n != "shard-3"]
+    assert sum(before[s] != after[s] for s in held) < 0.1 * len(held)
+    sizes = Counter(before.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_write_shards_keeps_all_rows_and_divides_a_hot_key(spark, table, tmp_path):
+    df, rows = table
+    hot = df.unionByName(spark.createDataFrame([(7, f"text {i}", "en", "s", 1, 1, "x") for i in range(400)], df.schema)).withColumn("slot", F.lit("mine"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as the parts are here
+    sharding.write_shards(hot, str(tmp_path / "out"), 4, 53, files=4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(rows) + 400
+    shard = sharding.place(hot, 4, 53).where("doc_id = 7").first().shard
+    files = list((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+    assert len(files) > 1 and {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} <= {f"shard={i}" for i in range(4)}
+
+
 # quality
 
 
