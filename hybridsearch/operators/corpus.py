@@ -27,7 +27,8 @@ def segment_lines(lines: DataFrame) -> DataFrame:
     """Records of ``lines(doc_id, line_no, page, text)``: ``doc_id, seq, standard_id, title, text, page_number, category, source``.
 
     A heading opens a record, the lines up to the next one are its body.  Its title is what follows the id, or else the
-    first short line that does not end in a full stop, which then leaves the body.  Records without a body go.
+    first short line that does not end in a full stop, which then leaves the body.  Records without a body go.  A document's lines
+    meet in one task, in order, so a document must fit into it; documents are spread over all tasks.
     """
     of_doc = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = detect_headings(lines).withColumn("segment", F.sum(F.col("is_heading").cast("int")).over(of_doc)).where("segment > 0")

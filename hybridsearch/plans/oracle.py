@@ -8,7 +8,6 @@ from ..functions import relevance as R
 from ..functions import text as T
 from ..operators.enrich import PROMPT
 from . import views
-from .queries import EXPANSION_RESPONSE, RATIONALE_RESPONSE
 
 _S = r"[ \t\n\r\f\x0B]"
 

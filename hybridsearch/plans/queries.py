@@ -16,7 +16,6 @@ from . import retrieve as plans
 from . import views
 
 QUERIES = {}
-MAX_RANK = 10
 #: Bytes of texts, with a thousand a row for the rest, beyond which a JSON file of chunks takes no more rows.
 FILE_BYTES = 8 << 20
 

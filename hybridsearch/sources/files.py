@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHUNK = "standard_id string, standard_number string, title string, content string, text string, page_number int, category string, source string"
-QUERY_SCHEMA = "id string, query string, expected_standards array<string>"
 RESULT_SCHEMA = "id string, query string, expected_standards array<string>, retrieved_standards array<string>, latency_seconds double, message string, error string"
 DEFAULT_SOURCE = "unknown"
 
