@@ -87,8 +87,8 @@ def lookup_table(spark: SparkSession, shards: list[str] | int = SHARDS, slots: i
 def place(docs: DataFrame, shards: list[str] | int = SHARDS, slots: int = SLOTS, key: Column | None = None) -> DataFrame:
     """``docs`` with ``slot`` and ``shard`` by ``key`` (default: ``doc_id`` as text).
 
-    Cases: a null key counts as the empty string; equal keys share a shard; repeated rows stay; columns of the
-    input named ``slot`` or ``shard`` are replaced; an empty table gives no rows.
+    Cases: a null key counts as the empty string; equal keys share a shard, however many they are; repeated rows stay; null, empty and
+    very long texts are passed on as they are; columns of the input named ``slot`` or ``shard`` are replaced; an empty table gives no rows.
     """
     key = F.coalesce((F.col("doc_id") if key is None else key).cast("string"), F.lit(""))
     table = F.broadcast(lookup_table(docs.sparkSession, shards, slots))

@@ -5,9 +5,9 @@ A file holds ``doc_id, part, seq, n_tokens, before, tokens``.  ``part`` numbers
 earlier rows.  Row groups and pages are kept small and dictionary-encoded, so a reader can select
 documents by ``doc_id`` statistics and page indexes, and metadata without touching the ids.
 
-Cases: a null text is an empty one (only the end id is written); rows with equal ``doc_id`` stay, in the
-order of their texts' hashes; a null ``doc_id`` sorts first; an empty table gives an empty folder that
-reads back as no rows; further columns of the input are ignored.
+Cases: a null text is an empty one (only the end id is written); a text of any length is encoded whole, in one row; rows with equal
+``doc_id`` stay, in the order of their texts' hashes; a null ``doc_id`` sorts first; an empty table gives an empty folder that
+reads back as no rows; further columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
