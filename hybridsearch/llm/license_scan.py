@@ -94,7 +94,7 @@ def _words() -> Column:
     Small letters of all scripts; the one other character whose small letter is a plain ASCII letter goes out of the way first, so
     that an ASCII word here was one in the text.
     """
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("K"), F.lit(""))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\u212a"), F.lit("\ue000"))
     return F.split(F.lower(text), _BREAK)
 
 

@@ -23,7 +23,7 @@ TABLE_CHARS = 64 << 20
 #: Bytes of texts whose distinct words are looked up at a time; one text is not divided.
 BATCH_BYTES = 4 << 20
 #: White space other than blank and line feed, in any of the tokenizers' definitions.
-_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # what a byte says: 1 a blank or line feed, 2 other white space, 3 perhaps the first of a character of white space
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[10, 32]] = 1
@@ -227,7 +227,7 @@ class Library:
     def _ids(self, piece: str) -> list[int]:
         before = piece[0] if piece[0] in " \n" else ""
         word = piece[len(before) :]
-        if not (self.cut and word.isalpha() and (word.isascii() or max(word) < "Ā")):
+        if not (self.cut and word.isalpha() and (word.isascii() or max(word) < "\u0100")):
             return self.whole(piece)
         if self.folds_space:
             word = word.lower()
