@@ -625,7 +625,7 @@ def test_minimum_covariance_determinant_equals_plain_algebra(spark):
     rows += [(len(rows) + i, "\n".join([words(6, 5) + " ###$$$"] * 1 + [words(200, 20) + "#" * 300]), "a", "s") for i in range(50)]
     rows += [(9000, "short", "a", "s"), (9001, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    stats = outliers.text_statistics(docs).withColumns(dict(zip(outliers._XS, outliers._features(), strict=True)))
+    stats = outliers.materialize(outliers.text_statistics(docs), "statistics").withColumns(dict(zip(outliers._XS, outliers._features(), strict=True)))
     stats = stats.withColumn("dealt", F.pmod(F.xxhash64(*outliers._XS), F.lit(outliers.DEALT))).where("not base_failed").collect()
     groups = {}
     for k in stats:
