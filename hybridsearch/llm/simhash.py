@@ -283,10 +283,13 @@ def representatives(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFram
     kept = materialize(kept, "kept-rows")
     own = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     single = own.join(kept.where("n = 1"), own.key == kept.kept_id, "left_semi")
+    out = single.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    if kept.where("n > 1").isEmpty():
+        return out  # no second pass over the texts
     # where a doc_id is repeated, a row is told by its own fingerprint, and one of those that agree in both stays
     several = own.join(kept.where("n > 1"), own.key == kept.kept_id).select("key", "row", "kept_fps", _fingerprint_of(width)(F.col("row.text")).alias("fp"))
     first = several.where(F.array_contains("kept_fps", F.col("fp"))).groupBy("key", "fp").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-    return single.select("row.*").unionByName(first.select("row.*")).unionByName(docs.where(F.col("doc_id").isNull()))
+    return out.unionByName(first.select("row.*"))
 
 
 def _fingerprint_of(width: int):
