@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import materialize
 from .graph import connected_components
 from .stretches import stretches, text_digests
 from .words import Words, mix, run_hashes, shingles, slices
@@ -40,7 +40,7 @@ MIN_WORDS = 25
 ROWS = 3
 #: Members of a bucket that are compared with one another in one task; larger buckets are divided.
 BLOCK = 400
-#: Bands or digests that are sent to every task rather than joined by a shuffle, where there are no more of them.
+#: Bands that are sent to every task rather than joined by a shuffle, where there are no more of them.
 BROADCAST_ROWS = 500_000
 
 
@@ -133,9 +133,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_pydict({"digest": pa.array(found.keys(), type=pa.int64()), "members": pa.array(found.values(), type=pa.list_(pa.int64()))})
 
-    few = (wanted.agg(F.sum(F.size("digests"))).first()[0] or 0) <= BROADCAST_ROWS
-    joined = _own(docs).join(F.broadcast(wanted) if few else wanted, "doc_id")
-    return joined.mapInArrow(run, "digest bigint, members array<bigint>").dropDuplicates(["digest"])
+    return _own(docs).join(wanted.hint("merge"), "doc_id").mapInArrow(run, "digest bigint, members array<bigint>").dropDuplicates(["digest"])
 
 
 def _close(both, a, b, least: float):
@@ -253,7 +251,8 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     """The columns of ``repeats``: its paragraphs, then whole stretches that an earlier document has too.  Of a stretch, the class
     is named by its first place, and counts that place and the stretches that begin with it; ``digest`` is the whole text's."""
     found = materialize(stretches(docs), "stretches")
-    sizes = found.groupBy("class_doc_id", "class_start").agg((F.count("*") + 1).alias("class_size"))
+    # a table, so that Spark can divide the rows of a class that very many documents have
+    sizes = materialize(found.groupBy("class_doc_id", "class_start").agg((F.count("*") + 1).alias("class_size")), "stretch-classes")
     whole = found.join(sizes, ["class_doc_id", "class_start"]).select("doc_id", "start_word", "n_words", "class_doc_id", "class_start", "class_size", F.lit(True).alias("removed"), F.col("of").alias("digest"))
     return repeats(docs, similarity, recall).unionByName(whole)
 

@@ -5,8 +5,9 @@ have equal anchors wherever they stand.  Only windows whose anchor is in two doc
 of all their words.  Of equal windows, those in the first document (by doc_id) stay; all words of the others are
 repeated.  Windows that follow one another and have their first place in step make one stretch.
 
-Cases: texts under ``LEAST`` words have no windows; repeats within one document only are left alone; rows without
-``doc_id`` take no part; rows that share a ``doc_id`` count as one document; an empty table gives no rows.
+Cases: null and empty texts, and those under ``LEAST`` words, have no windows; a text of any length is searched whole; repeats within one
+document only are left alone; rows without ``doc_id`` take no part; rows that share a ``doc_id`` count as one document; of equal places the
+first by ``doc_id`` stays; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from .common import materialize
 from .words import Words, mix, run_hashes, slices
 
 LEAST, GRAM = 50, 16
-#: Places of an anchor that are compared in one group; beyond that its windows are dealt out one by one.
-LARGE = 2000
+#: Places of an anchor that are compared in one group (a million windows or so, which a task passes through in seconds); beyond
+#: that its windows are dealt out one by one.
+LARGE = 1 << 15
 #: Anchors that are sent to every task rather than joined by a shuffle, where there are no more of them.
 BROADCAST_ROWS = 500_000
 
@@ -83,7 +85,7 @@ def _listed(column: pa.Array) -> np.ndarray:
     return mix(mix(np.repeat(np.arange(len(column)), sizes).astype(np.uint64)) + column.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``key, doc_id, of, start, windows``: digests of the windows that follow one another from ``start``, by anchor, or by
     themselves for anchors of many places; ``of`` is their text's digest."""
 
@@ -109,8 +111,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(at)), type=pa.int32()), pa.array(digest))
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "doc_id": some.column("doc_id").take(pa.array(rows)), "of": pa.array(of[rows]), "start": pa.array(w.index[at[start]].astype(np.int32)), "windows": lists})
 
-    joined = _own(docs).join(F.broadcast(wanted) if few else wanted, "doc_id")
-    return joined.mapInArrow(run, "key bigint, doc_id bigint, of bigint, start int, windows array<bigint>")
+    return _own(docs).join(wanted.hint("merge"), "doc_id").mapInArrow(run, "key bigint, doc_id bigint, of bigint, start int, windows array<bigint>")
 
 
 def _matches(windows: DataFrame) -> DataFrame:
@@ -151,8 +152,7 @@ def stretches(docs: DataFrame) -> DataFrame:
     few = shared.count() <= BROADCAST_ROWS
     places = anchors.join(F.broadcast(shared) if few else shared, "anchor")
     wanted = materialize(places.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("large")), "wanted-anchors")
-    few = (wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0) <= BROADCAST_ROWS
-    found = _matches(_windows(docs, wanted, few))
+    found = _matches(_windows(docs, wanted))
     # matches in step that overlap or touch are one stretch
     order = Window.partitionBy("doc_id", "of", "class_doc", "step").orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
