@@ -2,12 +2,12 @@
 
 from pathlib import Path
 
-import duckdb
 import pytest
 
 from hybridsearch.plans.oracle import ORACLE_SQL
 from hybridsearch.plans.queries import QUERIES
 
+duckdb = pytest.importorskip("duckdb")
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the test tables are not there")
 
