@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, outliers, paragraphs, quality, sharding, simhash, token_counts, token_files
+from . import attention, bpe, decontaminate, license_scan, outliers, paragraphs, prefix_trie, quality, sharding, simhash, spelling, token_counts, token_files
 from .common import table
 
 
@@ -51,5 +51,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_benchmark_decontamination, op4_substring_dedup, op5_bpe_round_trip, op6_token_files, op7_token_counts, op8_simhash_near_dedup, op9_license_scan, op10_quality_rules)}
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_benchmark_decontamination, op4_substring_dedup, op5_bpe_round_trip, op6_token_files, op7_token_counts, op8_simhash_near_dedup, op9_license_scan, op10_quality_rules, op11_conversation_prefix_trie, op12_lm_scoring, op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.PLACE_SQL, "op9_license_scan": license_scan.SCAN_SQL}
