@@ -1,7 +1,7 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-A paragraph is a block between blank lines, or a line where a text has no blank lines.  Shorter ones than ``MIN_WORDS`` words (headings,
-list items, notices) are left alone.
+A paragraph is a block between blank lines, or a line where a text has no blank lines.  All are compared, those of fewer words than a
+shingle as wholes; a caller may leave out short ones (``min_words``).
 
 Equal paragraphs are grouped by a digest first.  Bands of MinHash values over five-word shingles, their
 number chosen for the recall wanted, bring similar ones together; pairs in a bucket are verified by the exact
@@ -36,7 +36,6 @@ from .stretches import stretches, text_digests
 from .words import Words, mix, run_hashes, shingles, slices
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.99
-MIN_WORDS = 25
 ROWS = 3
 #: Members of a bucket that are compared with one another in one task; larger buckets are divided.
 BLOCK = 400
@@ -56,7 +55,7 @@ def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int
 class Paragraphs:
     """Paragraphs of some texts: ``row``, ``start`` (word in the text), ``n_words``, ``digest``, and their words' hashes."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, min_words: int = 1):
         self.words = w = Words(texts)
         n = len(w)
         lines = np.diff(w.line, prepend=0)
@@ -65,7 +64,7 @@ class Paragraphs:
         in_blocks[w.row[(lines > 1) & ~new_text]] = True
         begin = np.flatnonzero(new_text | (lines > np.where(in_blocks[w.row], 1, 0)))
         stop = np.append(begin[1:], n)[: len(begin)]
-        long = stop - begin >= MIN_WORDS
+        long = stop - begin >= min_words
         self.begin, self.stop = begin[long], stop[long]
         self.row, self.start, self.n_words = w.row[self.begin], w.index[self.begin], self.stop - self.begin
         self.digest = run_hashes(w.hash, self.begin, self.stop).view(np.int64)
@@ -75,12 +74,13 @@ class Paragraphs:
         return len(self.begin)
 
     def bands(self, n: int) -> np.ndarray:
-        """(paragraphs, n) band hashes."""
-        if not len(self):
+        """(paragraphs of ``WIDTH`` words or more, n) band hashes."""
+        some = self.n_words >= WIDTH
+        if not some.any():
             return np.zeros((0, n), dtype=np.int64)
-        ends = np.stack([self.begin, self.stop - WIDTH + 1], axis=1).ravel()
+        ends = np.stack([self.begin[some], self.stop[some] - WIDTH + 1], axis=1).ravel()
         padded = np.append(self.shingles, np.uint64(0))
-        out = np.zeros((len(self), n), dtype=np.uint64)
+        out = np.zeros((int(some.sum()), n), dtype=np.uint64)
         for k in range(n * ROWS):
             # an odd factor permutes the hashes, which are mixed already
             least = np.minimum.reduceat(padded * _FACTORS[k], ends)[::2]
@@ -95,28 +95,29 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, start, n_words, digest`` of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, texts in slices(batch):
-                p = Paragraphs(texts)
+                p = Paragraphs(texts, min_words)
                 if len(p):
                     yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id").take(pa.array(p.row)), "start": pa.array(p.start.astype(np.int32)), "n_words": pa.array(p.n_words.astype(np.int32)), "digest": pa.array(p.digest)})
 
     return _own(docs).mapInArrow(run, "doc_id bigint, start int, n_words int, digest bigint")
 
 
-def _bands(docs: DataFrame, n: int) -> DataFrame:
+def _bands(docs: DataFrame, n: int, min_words: int) -> DataFrame:
     """``band, digest, doc_id``: a row for each paragraph and band; the document tells where to find its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, texts in slices(batch):
-                p = Paragraphs(texts)
-                if len(p):
-                    yield pa.RecordBatch.from_pydict({"band": pa.array(p.bands(n).ravel()), "digest": pa.array(np.repeat(p.digest, n)), "doc_id": some.column("doc_id").take(pa.array(np.repeat(p.row, n)))})
+                p = Paragraphs(texts, min_words)
+                wide = p.n_words >= WIDTH
+                if wide.any():
+                    yield pa.RecordBatch.from_pydict({"band": pa.array(p.bands(n).ravel()), "digest": pa.array(np.repeat(p.digest[wide], n)), "doc_id": some.column("doc_id").take(pa.array(np.repeat(p.row[wide], n)))})
 
     return _own(docs).mapInArrow(run, "band bigint, digest bigint, doc_id bigint")
 
@@ -186,14 +187,14 @@ def _verified(rows: list[tuple], least: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if a != b]
 
 
-def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = 1) -> DataFrame:
     """``a, b``: links between the digests of different paragraphs that are similar."""
     n = tune_bands(similarity, recall)
     # bands with two digests or more; copies merge before the shuffle
-    shared = _bands(docs, n).groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
+    shared = _bands(docs, n, min_words).groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
     shared = materialize(shared.select("band"), "shared-bands")
     few = shared.count() <= BROADCAST_ROWS
-    members = _bands(docs, n).join(F.broadcast(shared) if few else shared, "band").groupBy("band", "digest").agg(F.min("doc_id").alias("doc_id"))
+    members = _bands(docs, n, min_words).join(F.broadcast(shared) if few else shared, "band").groupBy("band", "digest").agg(F.min("doc_id").alias("doc_id"))
     members = materialize(members, "buckets")
     # tables on both sides of each join, so that Spark can divide the rows of a band that very many paragraphs have
     sizes = materialize(members.groupBy("band").agg(F.count("*").alias("n"), F.min("digest").alias("first")), "bucket-sizes")
@@ -231,11 +232,11 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     return verified.unionByName(stars.where("close and digest <> first").select(F.col("first").alias("a"), F.col("digest").alias("b"))).distinct()
 
 
-def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = 1) -> DataFrame:
     """``doc_id, start_word, n_words, class_doc_id, class_start, class_size, removed, digest``: every paragraph of a class
     that occurs in several documents.  The class is named by its first paragraph's place."""
-    places = materialize(_places(docs), "paragraphs")
-    classes = connected_components(similar_links(docs, similarity, recall))
+    places = materialize(_places(docs, min_words), "paragraphs")
+    classes = connected_components(similar_links(docs, similarity, recall, min_words))
     first = F.min(F.struct("doc_id", "start"))
     digests = places.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first"), F.max("doc_id").alias("last_doc"))
     named = digests.join(classes, digests.digest == classes.node, "left").withColumn("root", F.coalesce("component", "digest"))
@@ -247,19 +248,19 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     )
 
 
-def repeated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def repeated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = 1) -> DataFrame:
     """The columns of ``repeats``: its paragraphs, then whole stretches that an earlier document has too.  Of a stretch, the class
     is named by its first place, and counts that place and the stretches that begin with it; ``digest`` is the whole text's."""
     found = materialize(stretches(docs), "stretches")
     # a table, so that Spark can divide the rows of a class that very many documents have
     sizes = materialize(found.groupBy("class_doc_id", "class_start").agg((F.count("*") + 1).alias("class_size")), "stretch-classes")
     whole = found.join(sizes, ["class_doc_id", "class_start"]).select("doc_id", "start_word", "n_words", "class_doc_id", "class_start", "class_size", F.lit(True).alias("removed"), F.col("of").alias("digest"))
-    return repeats(docs, similarity, recall).unionByName(whole)
+    return repeats(docs, similarity, recall, min_words).unionByName(whole)
 
 
-def removed(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def removed(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = 1) -> DataFrame:
     """``docs``, all rows and columns, without the texts' removed paragraphs and stretches."""
-    pieces = repeats(docs, similarity, recall).where("removed").select("doc_id", "start_word", "n_words", "digest")
+    pieces = repeats(docs, similarity, recall, min_words).where("removed").select("doc_id", "start_word", "n_words", "digest")
     pieces = pieces.unionByName(stretches(docs).select("doc_id", "start_word", "n_words", F.col("of").alias("digest")))
     gone = pieces.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set(F.struct("start_word", "n_words", "digest")).alias("gone_places"))
     columns, name = docs.columns, "gone_places"
