@@ -75,8 +75,8 @@ TEMPLATES = [
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("cc-by", "licensed under the creative commons attribution 4 0 international license", "creative commons attribution"),
     Template("mit", L.MIT, "to deal in the software without restriction"),
-    Template("bsd-3", L.BSD_3, "redistribution and use in source and binary forms"),
-    Template("isc", L.ISC, "permission to use copy modify and or distribute this software for any purpose"),
+    Template("bsd-3", L.BSD_3, "neither the name of the"),
+    Template("isc", L.ISC, "this permission notice appear in all copies"),
     Template("zlib", L.ZLIB, "the origin of this software must not be misrepresented"),
     Template("apache-2", L.APACHE_2_NOTICE, "licensed under the apache license version 2"),
     Template("gpl", L.GPL_NOTICE, "under the terms of the gnu general public license"),
