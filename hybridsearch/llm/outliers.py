@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SUPPORT = 0.75
-#: Disjoint sets of rows that are starts; steps of all starts; the most steps, and the fall of a determinant that counts as none.
-DEALT, FIRST_STEPS, MOST_STEPS, SETTLED = 2, 2, 12, 0.001
+#: Disjoint sets of rows that are starts; steps of all starts; the fall of a determinant that counts as none.
+DEALT, FIRST_STEPS, SETTLED = 2, 2, 0.001
+#: Steps that no group needs, since each lets a determinant fall; a guard against a defect, not a limit on results.
+GUARD_STEPS = 200
 #: Rows that a group's parent counts for.
 PRIOR = 200
 #: The chance that a Gaussian row is rejected.
@@ -231,7 +233,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     values = ["start", *_MEANS, *_COVS, *_FACTORS, "log_det"]
     best = F.min_by(F.struct(*values), F.struct("log_det", "start"))
     now = materialize(now.groupBy("key").agg(best.alias("e")).select("key", "e.*"), "best-starts")
-    for _ in range(MOST_STEPS):
+    for _ in range(GUARD_STEPS):
         new = _concentrated(rows, now, few).select("key", F.struct(*values).alias("new"))
         both = now.select("key", F.struct(*values).alias("old")).join(new, "key")
         # a step whose ties at the border raise the determinant is not taken
@@ -240,6 +242,8 @@ def estimates(rows: DataFrame) -> DataFrame:
         if now.where("fell").isEmpty():
             break
         now = now.drop("fell")
+    else:
+        raise RuntimeError("estimates did not settle")
     return now.drop("fell", "start").join(sizes, "key")
 
 

@@ -286,7 +286,7 @@ def plain_paragraphs(rows):
             lines = blocks
         at = 0
         for x in lines:
-            if doc is not None and len(x) >= paragraphs.MIN_WORDS:
+            if doc is not None and x:
                 out.append((doc, at, tuple(x)))
             at += len(x)
     return out
@@ -294,7 +294,7 @@ def plain_paragraphs(rows):
 
 def plain_repeats(rows):
     found = plain_paragraphs(rows)
-    sets = [{x[2][i : i + 5] for i in range(len(x[2]) - 4)} for x in found]
+    sets = [{x[2][i : i + 5] for i in range(max(1, len(x[2]) - 4))} for x in found]
     links = [(i, j) for i in range(len(found)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     root = components(len(found), links)
     classes = {}
@@ -309,6 +309,16 @@ def changed(text, k):
     return " ".join(w)
 
 
+def test_short_paragraphs_count(spark):
+    """Paragraphs of 3 and of 24 words in many documents, between unlike lines; a caller may leave them out."""
+    short, notice = "all rights reserved", prose(24, 5050)
+    rows = [(i, f"{prose(40, 1000 + i)}\n{short if i % 2 else notice}\n{prose(40, 2000 + i)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = paragraphs.repeats(df).collect()
+    assert Counter((r.n_words, r.class_size, r.removed) for r in got) == {(3, 30, True): 29, (3, 30, False): 1, (24, 30, True): 29, (24, 30, False): 1}
+    assert {r.n_words for r in paragraphs.repeats(df, min_words=10).collect()} == {24}
+
+
 def test_repeats(spark, table):
     """Whole paragraphs and near copies of them, as lines and as blocks of wrapped lines."""
     df, rows = table
@@ -606,7 +616,7 @@ def plain_mcd(groups):
         for _ in range(o.FIRST_STEPS):
             starts = [step(x, *e) for e in starts]
         now = min(starts, key=lambda e: log_det(e[1]))
-        for _ in range(o.MOST_STEPS):
+        for _ in range(o.GUARD_STEPS):
             new = step(x, *now)
             if log_det(new[1]) >= log_det(now[1]) - o.SETTLED:
                 break
@@ -654,3 +664,13 @@ def test_chi_square():
     # tabulated values
     assert abs(outliers.chi_square_quantile(0.05, 5) - 11.0705) < 1e-4 and abs(outliers.chi_square_quantile(0.01, 7) - 18.4753) < 1e-4
     assert abs(outliers.chi_square_above(outliers.CUTOFF, 5) / 1e-12 - 1) < 1e-3
+
+
+def test_kin_of_licences_get_no_label_of_theirs(spark):
+    """The two-clause text lacks what makes the three-clause one, the zero-clause text what makes ISC."""
+    from hybridsearch.llm import license_texts as L
+
+    two = L.BSD_3[: L.BSD_3.index("3. Neither")] + L.BSD_3[L.BSD_3.index("THIS SOFTWARE IS") :]
+    zero = L.ISC.replace(L.ISC[L.ISC.index("provided") if "provided" in L.ISC else 0 : L.ISC.index("THE SOFTWARE IS")], "")
+    df = spark.createDataFrame([(1, L.BSD_3), (2, two), (3, L.ISC), (4, zero)], "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == {1: "bsd-3", 2: "", 3: "isc", 4: ""}
