@@ -267,7 +267,7 @@ FROM (SELECT *, length(query) % 5 AS k, {_RELEVANT} AS fb, {_FALLBACK_MESSAGE} A
     "term_frequencies": "SELECT * FROM postings",
     "document_frequencies": "SELECT * FROM dfs",
     "corpus_stats": "SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats",
-    "bm25_idf": "SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_idf": "SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raw_idf",
     "encode_text": "SELECT chunk_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 6) AS x FROM (SELECT chunk_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS dim, CAST(sum(tf) AS DOUBLE) AS n FROM postings GROUP BY ALL)",
     "bm25_scores": "SELECT query_id, chunk_id, round(score, 6) AS score FROM scores",
     "sparse_top_k": "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores) WHERE rank <= 10",

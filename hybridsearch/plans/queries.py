@@ -328,9 +328,18 @@ def l2_normalize(spark, sf):
 _STORES: dict[tuple[str, str], str] = {}
 
 
+def _version(spark: SparkSession, sf: str) -> str:
+    """A digest of the listing of ``documents``: paths, sizes and times of its files.  Their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/documents.parquet").select("path", "length", "modificationTime")
+    one = F.md5(F.to_json(F.struct("path", "length", F.col("modificationTime").cast("double"))).cast("binary"))
+    # a sum of digests, so that no task gathers the listing
+    parts = [F.sum(F.conv(F.substring(one, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(4)]
+    return ",".join(map(str, found.agg(F.count("*"), *parts).first()))
+
+
 def search_index(spark: SparkSession, sf: str):
-    """The index of all records, each with the vector of its text; made once a session and folder of tables."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The index of all records, each with the vector of its text; made once a session and state of the tables' files."""
+    key = (spark.sparkContext.applicationId, f"{sf} {_version(spark, sf)}")
     if key in _STORES:
         try:
             return files.load_index(spark, _STORES[key])

@@ -123,3 +123,16 @@ def test_json_files_of_chunks_grow_in_number_not_in_size(spark, tmp_path, monkey
     assert sorted(r.text_md5 for r in out) == sorted(hashlib.md5((t or "").encode()).hexdigest() for _, t, _, _ in rows)
     sizes = [len(r.value) for r in spark.read.text(paths[0], wholetext=True).collect()]
     assert len(sizes) > 16 and sorted(sizes)[-2] < 300_000  # but for the file of the one long text
+
+
+def test_stored_index_follows_its_tables(spark, tmp_path):
+    """After ``documents`` is overwritten, no result comes from the index of the rows that it had."""
+    from hybridsearch.plans import queries
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    store = queries.search_index(spark, str(tmp_path))
+    n, same = store.chunks.count(), len(queries._STORES)
+    assert n > 0 and queries.search_index(spark, str(tmp_path)).chunks.count() == n and len(queries._STORES) == same
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert queries.search_index(spark, str(tmp_path)).chunks.count() == 0
