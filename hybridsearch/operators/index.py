@@ -14,11 +14,31 @@ EPSILON = 0.25
 DIM = 64
 
 
+def _tokens(text: str = "text") -> Column:
+    return tokenize(F.coalesce(text, F.lit("")))
+
+
+def _run_starts(name: str) -> Column:
+    """Where runs of equal values begin in the sorted array ``name``, so that values are counted within their row."""
+    places = F.transform(name, lambda _, i: i)
+    return F.filter(places, lambda i: (i == 0) | (F.get(name, i) != F.get(name, i - 1)))
+
+
+def _run_counts(name: str, value: str, count: str) -> Column:
+    """``value`` and ``count`` of every run, given the column ``starts``."""
+    length = lambda i, j: F.coalesce(F.get("starts", j + 1), F.size(name)) - i
+    return F.transform("starts", lambda i, j: F.struct(F.get(name, i).alias(value), length(i, j).alias(count)))
+
+
 def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, term, tf, dl`` of ``chunks(chunk_id, text)``; ``dl`` is the chunk's length in tokens."""
-    rows = chunks.select("chunk_id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    terms = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").cast("bigint").alias("dl"))
+    """``chunk_id, term, tf, dl`` of ``chunks(chunk_id, text)``, an id a row; ``dl`` is the chunk's length in tokens.
+
+    A row's sorted tokens are counted in runs, so nothing is shuffled.
+    """
+    rows = chunks.select("chunk_id", F.sort_array(_tokens()).alias("tokens"))
+    rows = rows.withColumn("starts", _run_starts("tokens"))
+    terms = rows.select("chunk_id", F.size("tokens").cast("bigint").alias("dl"), F.explode(_run_counts("tokens", "term", "tf")).alias("run"))
+    return terms.select("chunk_id", F.col("run.term").alias("term"), F.col("run.tf").cast("bigint").alias("tf"), "dl")
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -28,8 +48,17 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row ``n_docs, avgdl``; empty chunks count."""
-    dl = F.size(tokenize(F.coalesce("text", F.lit(""))))
-    return chunks.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(dl) / F.count("*"), F.lit(0.0)).alias("avgdl"))
+    return _stats(chunks.agg(F.count("*").alias("n_docs"), F.sum(F.size(_tokens())).alias("n_tokens")))
+
+
+def stats_of_postings(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """The same of chunks whose postings exist already, without taking their texts apart again."""
+    # single rows
+    return _stats(chunks.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(postings.agg(F.sum("tf").alias("n_tokens")))))
+
+
+def _stats(counts: DataFrame) -> DataFrame:
+    return counts.select("n_docs", F.coalesce(F.try_divide("n_tokens", "n_docs"), F.lit(0.0)).cast("double").alias("avgdl"))
 
 
 def bm25_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
@@ -43,11 +72,11 @@ def bm25_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
 
 def hash_encode(chunks: DataFrame, dim: int = DIM) -> DataFrame:
     """``chunk_id, embedding``: L2-normalised token counts in ``dim`` slots by the tokens' digests; the default encoder, without a model."""
-    words = chunks.select("chunk_id", F.explode_outer(tokenize(F.coalesce("text", F.lit("")))).alias("term"))
-    slot = F.pmod(F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    counts = words.groupBy("chunk_id", slot.alias("slot")).agg(F.count("*").cast("double").alias("n"))
-    filled = counts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("filled"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("filled", k), F.lit(0.0)))
+    slot = lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    rows = chunks.select("chunk_id", F.sort_array(F.transform(_tokens(), slot)).alias("slots"))
+    rows = rows.withColumn("starts", _run_starts("slots"))
+    filled = rows.select("chunk_id", F.map_from_entries(_run_counts("slots", "slot", "n")).alias("filled"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("filled", k).cast("double"), F.lit(0.0)))
     return filled.select("chunk_id", vector.alias("v")).select("chunk_id", l2_normalize(F.col("v")).alias("embedding"))
 
 

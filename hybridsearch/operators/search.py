@@ -1,29 +1,35 @@
 """Sparse and dense top-k search for tables of queries.
 
-Queries and chunks are dealt into blocks of bounded numbers; a task takes one block of each, multiplies them as matrices and
-passes on the queries' k best chunks only, so that no table of all pairs arises and nothing goes through the driver.
+A block of queries, bounded in bytes, is sent to every task; tasks keep each query's k best chunks while they pass over their part of
+the index, and only these are merged.  Neither a table of all pairs nor a matrix of all terms arises.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.accumulators import Accumulator
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokenize
+from ..sources.files import materialize
 
 K1, B, TOP = 1.5, 0.75, 10
 #: Query terms are sent to every task up to so many rows, and joined by a shuffle otherwise.
 BROADCAST_ROWS = 1_000_000
-#: Queries and chunks that are scored against one another in a task.
-QUERY_BLOCK, CHUNK_BLOCK = 4096, 4096
-#: Queries that are scored at a time within a task.
+#: Bytes of queries (terms or vectors) that are sent to every task for one pass over the index.
+QUERY_BYTES = 16 << 20
+#: Chunks whose postings are kept, bounded and skipped together.
+CHUNK_BLOCK = 1024
+#: Queries that are multiplied at a time within a task.
 ROWS_AT_ONCE = 256
+#: Scores are compared to nine decimals; bounds are trusted to one less.
+SLACK = 1e-8
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -32,18 +38,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def _part() -> Column:
+    """What a posting adds to a chunk's score, before its term's weight."""
+    tf, dl = F.col("tf").cast("double"), F.col("dl")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+
+def _of_terms(rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` of the terms in ``terms``, and whether these are few enough to be sent to every task."""
+    known = terms.select("term").distinct()
+    few = known.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(known) if few else known, "term", "left_semi"), few
+
+
 def bm25_scores(queries: DataFrame, postings: DataFrame, idf: DataFrame, stats: DataFrame) -> DataFrame:
     """``query_id, chunk_id, score`` for every pair that shares a term.
 
-    Postings never move: the query side, joined with its terms' idf, is sent to them where it is small.
+    The postings of the queries' terms are placed by chunk, before they meet the queries; where the query side is small and so
+    sent to them, the sums of a chunk then finish where they are made, and no pair of query and chunk is shuffled.
     """
     terms = query_terms(queries)
     few = terms.count() <= BROADCAST_ROWS
     weighted = idf.join(F.broadcast(terms) if few else terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    tf, dl = F.col("tf").cast("double"), F.col("dl")
-    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    found = postings.join(F.broadcast(weighted) if few else weighted, "term").crossJoin(F.broadcast(stats))  # a single row
-    return found.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    parts = _of_terms(postings, terms)[0].crossJoin(F.broadcast(stats)).select("chunk_id", "term", _part().alias("part"))  # a single row
+    found = parts.repartition("chunk_id").join(F.broadcast(weighted), "term") if few else parts.join(weighted, "term")
+    return found.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int = TOP) -> DataFrame:
@@ -52,40 +71,6 @@ def top_k(scores: DataFrame, k: int = TOP) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocked(queries: DataFrame, chunks: DataFrame, score: Callable[[pa.Table, pa.Table], list[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray]]], k: int) -> DataFrame:
-    """The k best chunks of each query, with ``rank``.  ``score`` gives, for a block of ``queries`` (rows with ``query_id``) and one of
-    ``chunks`` (rows with ``chunk_id``), portions (query ids, their positions, chunk ids, their positions, scores)."""
-    ids = [f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("query_id", queries), ("chunk_id", chunks))]
-    kinds = [to_arrow_type(df.schema[name].dataType) for name, df in (("query_id", queries), ("chunk_id", chunks))]
-    count = lambda df, name, size: max(1, -(-df.select(name).distinct().count() // size))
-    n_queries, n_chunks = count(queries, "query_id", QUERY_BLOCK), count(chunks, "chunk_id", CHUNK_BLOCK)
-    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("query_block", block("query_id", n_queries)).withColumn("chunk_block", every(n_chunks))
-    stored = chunks.withColumn("chunk_block", block("chunk_id", n_chunks)).withColumn("query_block", every(n_queries))
-
-    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        parts = [pa.table({"query_id": pa.array([], kinds[0]), "chunk_id": pa.array([], kinds[1]), "score": pa.array([], pa.float64())})]
-        if len(asked) and len(stored):
-            for query_ids, i, chunk_ids, j, scores in score(asked, stored):
-                parts.append(pa.table({"query_id": query_ids.take(pa.array(i)), "chunk_id": chunk_ids.take(pa.array(j)), "score": pa.array(scores)}))
-        return pa.concat_tables(parts)
-
-    both = asked.groupBy("query_block", "chunk_block").cogroup(stored.groupBy("query_block", "chunk_block"))
-    return top_k(both.applyInArrow(run, f"{ids[0]}, {ids[1]}, score double"), k)
-
-
-def _best(product: np.ndarray, names: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k largest values above ``least``; values that agree to nine decimals go by name."""
-    rounded = np.round(product, 9)
-    border = np.partition(rounded, -k, axis=1)[:, -k] if rounded.shape[1] > k else np.full(len(rounded), -np.inf)
-    i, j = np.nonzero((rounded >= border[:, None]) & (product > least))
-    order = np.lexsort((names[j], -rounded[i, j], i))
-    i, j = i[order], j[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[place < k], j[place < k]
-
-
 def _coded(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     coded = column.combine_chunks().dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy()
@@ -99,62 +84,188 @@ def _ranks(names: pa.Array) -> np.ndarray:
     return out
 
 
+class _Best:
+    """Each query's k best chunks so far, by score to nine decimals and then by id, and the score that a further one must reach."""
+
+    def __init__(self, n_queries: int, k: int, kind: pa.DataType, least: np.ndarray | None = None):
+        self.n, self.k = n_queries, k
+        self.least = np.full(n_queries, -np.inf) if least is None else least.copy()
+        self.query, self.score, self.names = np.empty(0, np.int64), np.empty(0), pa.array([], kind)
+
+    def add(self, query: np.ndarray, names: pa.Array, score: np.ndarray) -> None:
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        names = pa.concat_arrays([self.names, names])
+        coded = names.dictionary_encode()
+        rank, rounded = _ranks(coded.dictionary)[coded.indices.to_numpy()], np.round(score, 9)
+        order = np.lexsort((rank, -rounded, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        kept, last = order[place < self.k], order[place == self.k - 1]
+        self.query, self.score, self.names = query[kept], score[kept], names.take(pa.array(kept))
+        self.least[query[last]] = np.maximum(self.least[query[last]], rounded[last])
+
+
+def _candidates(rounded: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values of a row, and of those that equal the k-th."""
+    return np.arange(len(rounded)) if len(rounded) <= k else np.flatnonzero(rounded >= np.partition(rounded, -k)[-k])
+
+
+def _in_blocks(asked: DataFrame, size: Column, stored: DataFrame, search: Callable[[pa.Table, pa.Array, Iterator[pa.RecordBatch]], tuple[pa.Array, _Best]], k: int) -> DataFrame:
+    """The k best chunks of each query of ``asked(query_id, ...)``, with ``rank``: a pass over ``stored`` for every block of queries.
+
+    A row of ``asked`` counts for ``size`` bytes; blocks are drawn by a digest of the id and hold about QUERY_BYTES, which
+    is what the driver and every task keep of them.
+    """
+    kind = stored.schema["chunk_id"].dataType if "chunk_id" in stored.columns else stored.schema["chunk_ids"].dataType.elementType
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {kind.simpleString()}, score double"
+    n_blocks = 1 + (asked.agg(F.sum(size)).first()[0] or 0) // QUERY_BYTES
+
+    def passed(block: pa.Table) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, best = search(block, to_arrow_type(kind), batches)
+            found = pa.table({"query_id": query_ids.take(pa.array(best.query)), "chunk_id": best.names, "score": pa.array(best.score)})
+            yield from found.to_batches()
+
+        return stored.mapInArrow(run, schema)
+
+    own = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    found = [passed(asked.where(own == b).toArrow()) for b in range(n_blocks)]
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return top_k(whole, k)
+
+
+def impacts(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """The impact index of ``postings``: ``block, term, bound, chunk_ids, parts``, a row for each term of a block of about CHUNK_BLOCK chunks.
+
+    ``parts`` are what the postings add to their chunks' scores before the query's weight, largest first; ``bound`` is the largest.
+    """
+    one = F.broadcast(stats)  # a single row
+    block = F.pmod(F.xxhash64("chunk_id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / CHUNK_BLOCK))).cast("bigint")
+    rows = postings.crossJoin(one).select(block.alias("block"), "term", "chunk_id", _part().alias("part"))
+    listed = F.sort_array(F.collect_list(F.struct("part", "chunk_id")), asc=False)
+    # a block's rows meet once; terms are grouped where they are
+    lists = rows.repartition("block").groupBy("block", "term").agg(listed.alias("list"))
+    return lists.select("block", "term", F.get("list.part", F.lit(0)).alias("bound"), F.col("list.chunk_id").alias("chunk_ids"), F.col("list.part").alias("parts"))
+
+
 def sparse_top_k(queries: DataFrame, postings: DataFrame, idf: DataFrame, stats: DataFrame, k: int = TOP) -> DataFrame:
-    """``query_id, chunk_id, score, rank`` by BM25; chunks without a query term are never listed."""
-    terms = query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    known = terms.select("term").distinct()
-    few = known.count() <= BROADCAST_ROWS
-    asked = postings.join(F.broadcast(known) if few else known, "term", "left_semi").crossJoin(F.broadcast(stats))  # a single row
-    tf, dl = F.col("tf").cast("double"), F.col("dl")
-    parts = asked.select("chunk_id", "term", (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))).alias("part"))
+    """``query_id, chunk_id, score, rank`` by BM25; chunks without a query term are never listed.  The impact index of the
+    queries' terms is made first; where it is stored, :func:`search_impacts` begins with it."""
+    return search_impacts(queries, materialize(impacts(_of_terms(postings, query_terms(queries))[0], stats), "impacts"), idf, k)
 
-    def score(asked: pa.Table, stored: pa.Table) -> list:
+
+def search_impacts(queries: DataFrame, index: DataFrame, idf: DataFrame, k: int = TOP, skipped: Accumulator | None = None) -> DataFrame:
+    """``query_id, chunk_id, score, rank`` by BM25, from an impact index.
+
+    A query begins with the best k-th score that one of its terms alone gives over all chunks, and passes over each block whose
+    bounds, weighted and added, cannot reach what it has; ``skipped`` counts such pairs of query and block.
+    """
+    terms = query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    own = _of_terms(index, terms)[0]
+    # a term's k-th largest part: no block gives more than its first k
+    first = own.select("term", F.explode(F.slice("parts", 1, k)).alias("kth"))
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("kth")))
+    kth = first.withColumn("n", place).where(F.col("n") <= k).where(F.col("n") == k).drop("n")
+    asked = terms.join(kth, "term", "left")
+    n_skipped = skipped
+
+    def search(asked: pa.Table, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, _Best]:
         query_ids, q = _coded(asked["query_id"])
-        chunk_ids, c = _coded(stored["chunk_id"])
         known, t = _coded(asked["term"])
-        of_stored = pc.index_in(stored["term"].combine_chunks(), value_set=known)
-        own, stored_term = ~np.asarray(of_stored.is_null()), of_stored.fill_null(0).to_numpy()
-        weight, part, names, out = asked["weight"].to_numpy(), stored["part"].to_numpy(), _ranks(chunk_ids), []
         order = np.argsort(q, kind="stable")
-        q, t, weight = q[order], t[order], weight[order]
-        for lo in range(0, len(query_ids), ROWS_AT_ONCE):
-            a, b = np.searchsorted(q, [lo, lo + ROWS_AT_ONCE])
-            # only these queries' terms are columns
-            used, column = np.unique(t[a:b], return_inverse=True)
-            place = np.full(len(known), -1)
-            place[used] = np.arange(len(used))
-            some = own & (place[stored_term] >= 0)
-            left, right = np.zeros((min(ROWS_AT_ONCE, len(query_ids) - lo), len(used))), np.zeros((len(used), len(chunk_ids)))
-            in_left, in_right = (q[a:b] - lo, column), (place[stored_term[some]], c[some])
-            left[in_left], right[in_right] = weight[a:b], part[some]
-            product = left @ right
-            # a chunk that shares a term is listed whatever its score
-            left[in_left] = right[in_right] = 1
-            shares = left.astype(np.float32) @ right.astype(np.float32) > 0
-            i, j = _best(np.where(shares, product, -np.inf), names, k)
-            out.append((query_ids, lo + i, chunk_ids, j, product[i, j]))
-        return out
-
-    return _blocked(terms, parts, score, k)
+        q, t = q[order], t[order]
+        weight = asked["weight"].to_numpy()[order]
+        kth = asked["kth"].to_numpy()[order].astype(np.float64)
+        ends = np.searchsorted(q, np.arange(len(query_ids) + 1))
+        lowest, least = np.full(len(query_ids), np.inf), np.full(len(query_ids), -np.inf)
+        np.minimum.at(lowest, q, weight)
+        np.fmax.at(least, q, weight * kth)
+        # a weight below zero may take away what another term gives
+        least[lowest < 0] = -np.inf
+        best = _Best(len(query_ids), k, kind, np.round(least, 9) - SLACK)
+        for block in _runs_of(batches, "block"):
+            row = pc.index_in(known, value_set=block["term"].combine_chunks()).fill_null(-1).to_numpy()[t]
+            there, bound = row >= 0, block["bound"].to_numpy()
+            most = np.bincount(q[there], np.maximum(weight[there] * bound[row[there]], 0), minlength=len(query_ids))
+            some = np.bincount(q[there], minlength=len(query_ids)) > 0
+            live = some & (most + SLACK >= best.least)
+            if n_skipped is not None:
+                n_skipped.add(int(np.sum(some & ~live)))
+            lists = block["chunk_ids"].combine_chunks()
+            offset = lists.offsets.to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            c, parts, names = coded.indices.to_numpy(), block["parts"].combine_chunks().flatten().to_numpy(), coded.dictionary
+            offset = offset - offset[0]
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for i in np.flatnonzero(live):
+                at = slice(ends[i], ends[i + 1])
+                rows, w = row[at][there[at]], weight[at][there[at]]
+                chunks = np.concatenate([c[offset[r] : offset[r + 1]] for r in rows])
+                gain = np.concatenate([x * parts[offset[r] : offset[r + 1]] for r, x in zip(rows, w, strict=True)])
+                total = np.bincount(chunks, gain, minlength=len(names))
+                # a chunk that shares a term is listed whatever its score
+                shares = total > 0 if lowest[i] > 0 else np.bincount(chunks, minlength=len(names)) > 0
+                rounded = np.round(total, 9)
+                j = np.flatnonzero(shares & (rounded >= best.least[i]))
+                j = j[_candidates(rounded[j], k)]
+                if len(j):
+                    found.append((i, j, total[j]))
+            if found:
+                best.add(np.repeat([i for i, _, _ in found], [len(j) for _, j, _ in found]), names.take(pa.array(np.concatenate([j for _, j, _ in found]))), np.concatenate([x for _, _, x in found]))
+        return query_ids, best
+
+    size = F.octet_length("term") + F.lit(48)
+    return _in_blocks(asked, size, own.repartition("block").sortWithinPartitions("block"), search, k)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """Tables of the rows that have the same value of ``name``, from batches in its order."""
+    held: list[pa.RecordBatch] = []
+    value = None
+    for batch in batches:
+        column = batch.column(name).to_numpy()
+        borders = [0, *(1 + np.flatnonzero(column[1:] != column[:-1])), len(column)]
+        for a, b in zip(borders[:-1], borders[1:], strict=True):
+            if b > a:
+                if held and column[a] != value:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                value = column[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, chunk_id, score, rank``: exact largest inner products of ``queries(query_id, embedding)`` and
-    ``vectors(chunk_id, embedding)``; rows without a vector take no part."""
+    ``vectors(chunk_id, embedding)``; rows without a vector take no part.  Vectors stay where they are."""
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        lists = column.combine_chunks()
+    def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
-    def score(asked: pa.Table, stored: pa.Table) -> list:
-        query_ids, chunk_ids = asked["query_id"].combine_chunks(), stored["chunk_id"].combine_chunks()
-        left, right, names, out = matrix(asked["query_vector"]), matrix(stored["chunk_vector"]).T, _ranks(chunk_ids), []
-        for lo in range(0, len(left), ROWS_AT_ONCE):
-            product = left[lo : lo + ROWS_AT_ONCE] @ right
-            i, j = _best(product, names, k)
-            out.append((query_ids, lo + i, chunk_ids, j, product[i, j]))
-        return out
-
-    own = lambda df, name, to: df.where("embedding is not null").select(name, F.col("embedding").alias(to))
-    # other names, so that a table may be searched with its own rows
-    return _blocked(own(queries, "query_id", "query_vector"), own(vectors, "chunk_id", "chunk_vector"), score, k)
+    def search(asked: pa.Table, kind: pa.DataType, batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, _Best]:
+        query_ids = asked["query_id"].combine_chunks()
+        best = _Best(len(query_ids), k, kind)
+        if not len(query_ids):
+            return query_ids, best
+        left = matrix(asked["embedding"])
+        for batch in batches:
+            if not len(batch):
+                continue
+            right, parts = matrix(batch.column("embedding")).T, []
+            for lo in range(0, len(left), ROWS_AT_ONCE):
+                product = left[lo : lo + ROWS_AT_ONCE] @ right
+                rounded = np.round(product, 9)
+                border = best.least[lo : lo + ROWS_AT_ONCE, None]
+                if rounded.shape[1] > k:
+                    border = np.maximum(border, np.partition(rounded, -k, axis=1)[:, -k, None])
+                i, j = np.nonzero(rounded >= border)
+                parts.append((lo + i, j, product[i, j]))
+            i, j, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            best.add(i, batch.column("chunk_id").take(pa.array(j)), score)
+        return query_ids, best
+
+    own = lambda df, name: df.where("embedding is not null").select(name, "embedding")
+    return _in_blocks(own(queries, "query_id"), F.size("embedding") * F.lit(8) + F.lit(32), own(vectors, "chunk_id"), search, k)

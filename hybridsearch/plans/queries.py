@@ -363,7 +363,7 @@ def _query_vectors(spark, sf):
 def _fused(spark, sf):
     store, asked = search_index(spark, sf), relevance_ops.relevance_fallback(_asked(spark, sf)).where("is_relevant")
     dense = search.dense_top_k(_query_vectors(spark, sf).join(asked, "query_id", "left_semi"), store.vectors)
-    return store, asked, files.materialize(fusion.rrf_fusion(dense, search.sparse_top_k(asked, store.postings, store.idf, store.stats)), "fused")
+    return store, asked, files.materialize(fusion.rrf_fusion(dense, search.search_impacts(asked, store.impacts, store.idf)), "fused")
 
 
 @_query

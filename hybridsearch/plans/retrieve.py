@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus, enrich, fusion, index, search
 from ..operators.relevance import relevance_fallback
-from ..sources.files import SearchIndex, clustered, load_index, materialize, save_index
+from ..sources.files import SearchIndex, load_index, materialize, save_index
 
 
 def build_index(parents: DataFrame, children: DataFrame, encoder: Callable | None = None) -> SearchIndex:
@@ -25,19 +25,21 @@ def identified(chunks: DataFrame) -> DataFrame:
 
 
 def index_chunks(chunks: DataFrame, parents: DataFrame, vectors: DataFrame) -> SearchIndex:
-    """An index of chunks that have ids and vectors already.  Postings are written once, for the statistics on them."""
-    postings = materialize(clustered(index.term_frequencies(chunks)), "postings")
-    stats = index.corpus_stats(chunks)
-    return SearchIndex(chunks, parents, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats, vectors)
+    """An index of chunks that have ids and vectors already.  Postings and impacts are written once, for all searches."""
+    postings = materialize(index.term_frequencies(chunks), "postings")
+    stats = index.stats_of_postings(chunks, postings)
+    idf = index.bm25_idf(index.document_frequencies(postings), stats)
+    return SearchIndex(chunks, parents, postings, idf, stats, vectors, materialize(search.impacts(postings, stats), "impacts"))
 
 
 def write_index(chunks: DataFrame, parents: DataFrame, vectors: DataFrame, path: str) -> SearchIndex:
-    """The same index, written to ``path`` as it is made: postings once, clustered by term, and the statistics from what was written."""
+    """The same index, written to ``path`` as it is made: postings once, the statistics and impacts from what was written."""
     spark = chunks.sparkSession
-    empty = SearchIndex(chunks, parents, clustered(index.term_frequencies(chunks)), None, None, vectors)
-    save_index(empty, path)
-    postings, stats = spark.read.parquet(f"{path}/postings"), index.corpus_stats(spark.read.parquet(f"{path}/chunks"))
-    save_index(SearchIndex(None, None, None, index.bm25_idf(index.document_frequencies(postings), stats), stats, None), path)
+    save_index(SearchIndex(chunks, parents, index.term_frequencies(chunks), None, None, vectors, None), path)
+    postings = spark.read.parquet(f"{path}/postings")
+    save_index(SearchIndex(None, None, None, None, index.stats_of_postings(spark.read.parquet(f"{path}/chunks"), postings), None, None), path)
+    stats = spark.read.parquet(f"{path}/stats")
+    save_index(SearchIndex(None, None, None, index.bm25_idf(index.document_frequencies(postings), stats), None, None, search.impacts(postings, stats)), path)
     return load_index(spark, path)
 
 
@@ -54,7 +56,7 @@ def retrieve(queries: DataFrame, store: SearchIndex, query_vectors: DataFrame, t
     """
     asked = relevance_fallback(queries).where("is_relevant")
     dense = search.dense_top_k(query_vectors.join(asked, "query_id", "left_semi"), store.vectors)
-    sparse = search.sparse_top_k(asked, store.postings, store.idf, store.stats)
+    sparse = search.search_impacts(asked, store.impacts, store.idf)
     # few rows a query from here on: kept as tables, so that sizing a join does not search again
     fused = materialize(fusion.rrf_fusion(dense, sparse), "fused")
     candidates = materialize(fusion.part_priority(fusion.build_candidates(fused, store.chunks), asked), "candidates")

@@ -83,7 +83,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class SearchIndex:
-    """A search index: plain tables."""
+    """A search index: plain tables.  ``impacts`` are the postings as searches read them, by blocks of chunks."""
 
     chunks: DataFrame
     parents: DataFrame
@@ -91,11 +91,7 @@ class SearchIndex:
     idf: DataFrame
     stats: DataFrame
     vectors: DataFrame
-
-
-def clustered(postings: DataFrame) -> DataFrame:
-    """Postings clustered and sorted by term, so that searches skip row groups; a very common term's are dealt over eight tasks."""
-    return postings.repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("term")
+    impacts: DataFrame
 
 
 def save_index(index: SearchIndex, path: str) -> None:

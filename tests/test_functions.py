@@ -165,13 +165,16 @@ def test_fusion_ties_and_parts(spark):
 def test_dense_top_k_in_blocks(spark, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(search, "CHUNK_BLOCK", 60)
+    monkeypatch.setattr(search, "QUERY_BYTES", 250)
     monkeypatch.setattr(search, "ROWS_AT_ONCE", 2)
     r = np.random.default_rng(0)
     v, q = r.normal(size=(200, 8)), r.normal(size=(7, 8))
     own = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id int, embedding array<double>").repartition(5)
-    out = search.dense_top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>"), own, 4).orderBy("query_id", "rank").collect()
+    found = search.dense_top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, embedding array<double>"), own, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a pass a block of queries, each over the vectors where they are
+    assert plan.count("MapInArrow") > 1 and "Join" not in plan and "CoGroup" not in plan
+    out = found.orderBy("query_id", "rank").collect()
     assert [r.chunk_id for r in out] == np.argsort(-(q @ v.T), axis=1)[:, :4].ravel().tolist()
 
 
@@ -199,16 +202,22 @@ def test_plans(spark):
     rows = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x") for i in range(50)], "chunk_id int, text string")
     postings, stats = index.term_frequencies(rows), index.corpus_stats(rows)
     asked = spark.createDataFrame([(1, "w1 x")], "query_id int, search_query string")
-    found = search.sparse_top_k(asked, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats)
+    idf = index.bm25_idf(index.document_frequencies(postings), stats)
+    found = search.sparse_top_k(asked, postings, idf, stats)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+    plan = search.bm25_scores(asked, postings, idf, stats)._jdf.queryExecution().executedPlan().toString()
+    # above the join with the queries nothing is shuffled
+    assert "Exchange hashpartitioning" not in plan[: plan.index("BroadcastHashJoin")]
+    # counts within the row
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in index.encode_text(rows)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sparse_top_k_equals_all_scores(spark, monkeypatch):
     """In blocks, and with ties, repeated words, and terms whose weight is zero or below."""
-    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "QUERY_BYTES", 1500)
     monkeypatch.setattr(search, "CHUNK_BLOCK", 9)
-    monkeypatch.setattr(search, "ROWS_AT_ONCE", 2)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(25)] + ["the"] * 12
     rows = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 15)))) for i in range(60)], "chunk_id int, text string")
@@ -223,6 +232,33 @@ def test_sparse_top_k_equals_all_scores(spark, monkeypatch):
     assert [r.score for r in sorted(got, key=key)] == pytest.approx([r.score for r in sorted(want, key=key)])
 
 
+def test_blocks_that_cannot_reach_are_passed_over(spark, monkeypatch):
+    """A rare word and a common one: blocks of chunks with the common one alone are skipped, and nothing is lost."""
+    monkeypatch.setattr(search, "CHUNK_BLOCK", 10)
+    rows = spark.createDataFrame([(i, "common " + ("rare " * 3 if i % 50 == 0 else f"w{i} ") + "x " * (i % 9)) for i in range(400)], "chunk_id int, text string")
+    postings, stats = index.term_frequencies(rows), index.corpus_stats(rows)
+    idf = index.bm25_idf(index.document_frequencies(postings), stats)
+    asked = spark.createDataFrame([("a", "rare common"), ("b", "common")], "query_id string, search_query string")
+    skipped = spark.sparkContext.accumulator(0)
+    got = search.search_impacts(asked, search.impacts(postings, stats), idf, 4, skipped).orderBy("query_id", "rank").collect()
+    want = search.top_k(search.bm25_scores(asked, postings, idf, stats), 4).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, r.rank) for r in got] == [(r.query_id, r.chunk_id, r.rank) for r in want]
+    assert skipped.value >= 20
+    impacts = search.impacts(postings, stats).collect()
+    assert all(r.bound == max(r.parts) and len(r.parts) == len(set(r.chunk_ids)) for r in impacts)
+    assert sum(len(r.parts) for r in impacts) == postings.count() and max(len(r.parts) for r in impacts) < 40
+
+
+def test_counts_within_rows(spark):
+    rows = spark.createDataFrame([(1, "b a B c a a"), (2, ""), (3, None), (4, "x")], "chunk_id int, text string")
+    got = sorted((r.chunk_id, r.term, r.tf, r.dl) for r in index.term_frequencies(rows).collect())
+    assert got == [(1, "a", 3, 6), (1, "b", 2, 6), (1, "c", 1, 6), (4, "x", 1, 1)]
+    for n in (rows, rows.limit(0), rows.where("chunk_id in (2, 3)")):
+        assert index.stats_of_postings(n, index.term_frequencies(n)).collect() == index.corpus_stats(n).collect()
+    vectors = {r.chunk_id: r.embedding for r in index.encode_text(rows).collect()}
+    assert sorted(vectors) == [1, 2, 3, 4] and sum(vectors[2]) == 0 and sum(x * x for x in vectors[1]) == pytest.approx(1) and sum(vectors[4]) == 1
+
+
 def test_rerank_with_a_scorer(spark):
     rows = [("q", c, f"IS {c}", f"text {c}", k) for k, c in enumerate("abc", 1)]
     candidates = spark.createDataFrame(rows, "query_id string, chunk_id string, standard_id string, text string, rank int")
