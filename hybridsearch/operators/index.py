@@ -18,16 +18,21 @@ def _tokens(text: str = "text") -> Column:
     return tokenize(F.coalesce(text, F.lit("")))
 
 
-def _run_starts(name: str) -> Column:
-    """Where runs of equal values begin in the sorted array ``name``, so that values are counted within their row."""
-    places = F.transform(name, lambda _, i: i)
-    return F.filter(places, lambda i: (i == 0) | (F.get(name, i) != F.get(name, i - 1)))
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, wherever the optimizer moves it: a one-element list binds it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
-def _run_counts(name: str, value: str, count: str) -> Column:
-    """``value`` and ``count`` of every run, given the column ``starts``."""
-    length = lambda i, j: F.coalesce(F.get("starts", j + 1), F.size(name)) - i
-    return F.transform("starts", lambda i, j: F.struct(F.get(name, i).alias(value), length(i, j).alias(count)))
+def _runs(values: Column, value: str, count: str) -> Column:
+    """``value`` and ``count`` of every run of equal values in an array, sorted before, so that they are counted within their row."""
+
+    def counted(values: Column) -> Column:
+        places = F.transform(values, lambda _, i: i)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
+        run = lambda starts: lambda i, j: F.struct(F.get(values, i).alias(value), (F.coalesce(F.get(starts, j + 1), F.size(values)) - i).alias(count))
+        return _bound(starts, lambda starts: F.transform(starts, run(starts)))
+
+    return _bound(F.sort_array(values), counted)
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
@@ -35,9 +40,8 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
 
     A row's sorted tokens are counted in runs, so nothing is shuffled.
     """
-    rows = chunks.select("chunk_id", F.sort_array(_tokens()).alias("tokens"))
-    rows = rows.withColumn("starts", _run_starts("tokens"))
-    terms = rows.select("chunk_id", F.size("tokens").cast("bigint").alias("dl"), F.explode(_run_counts("tokens", "term", "tf")).alias("run"))
+    rows = chunks.select("chunk_id", _tokens().alias("tokens"))
+    terms = rows.select("chunk_id", F.size("tokens").cast("bigint").alias("dl"), F.explode(_runs(F.col("tokens"), "term", "tf")).alias("run"))
     return terms.select("chunk_id", F.col("run.term").alias("term"), F.col("run.tf").cast("bigint").alias("tf"), "dl")
 
 
@@ -73,18 +77,15 @@ def bm25_idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
 def hash_encode(chunks: DataFrame, dim: int = DIM) -> DataFrame:
     """``chunk_id, embedding``: L2-normalised token counts in ``dim`` slots by the tokens' digests; the default encoder, without a model."""
     slot = lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    rows = chunks.select("chunk_id", F.sort_array(F.transform(_tokens(), slot)).alias("slots"))
-    rows = rows.withColumn("starts", _run_starts("slots"))
-    filled = rows.select("chunk_id", F.map_from_entries(_run_counts("slots", "slot", "n")).alias("filled"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("filled", k).cast("double"), F.lit(0.0)))
-    return filled.select("chunk_id", vector.alias("v")).select("chunk_id", l2_normalize(F.col("v")).alias("embedding"))
+    filled = F.map_from_entries(_runs(F.transform(_tokens(), slot), "slot", "n"))
+    vector = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at(m, k).cast("double"), F.lit(0.0)))
+    return chunks.select("chunk_id", _bound(_bound(filled, vector), l2_normalize).alias("embedding"))
 
 
 def l2_normalize(vector: Column) -> Column:
     """A vector divided by its length, or by 1e-9 if that is larger."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    # a one-element list binds the length, so that it is computed once
-    return F.get(F.transform(F.array(F.greatest(norm, F.lit(1e-9))), lambda n: F.transform(vector, lambda x: x.cast("double") / n)), 0)
+    return _bound(F.greatest(norm, F.lit(1e-9)), lambda n: F.transform(vector, lambda x: x.cast("double") / n))
 
 
 def encode_text(chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], list]] | None = None, batch: int = 64) -> DataFrame:
