@@ -162,6 +162,8 @@ def search_impacts(queries: DataFrame, index: DataFrame, idf: DataFrame, k: int
     bounds, weighted and added, cannot reach what it has; ``skipped`` counts such pairs of query and block.
     """
     terms = query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    # read for the terms' parts, for the size and for every block
+    terms = materialize(terms, "query-terms")
     own = _of_terms(index, terms)[0]
     # a term's k-th largest part: no block gives more than its first k
     first = own.select("term", F.explode(F.slice("parts", 1, k)).alias("kth"))
@@ -216,7 +218,9 @@ def search_impacts(queries: DataFrame, index: DataFrame, idf: DataFrame, k: int
         return query_ids, best
 
     size = F.octet_length("term") + F.lit(48)
-    return _in_blocks(asked, size, own.repartition("block").sortWithinPartitions("block"), search, k)
+    # a stated number of tasks, since the work on a block is more than its bytes tell
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _in_blocks(asked, size, own.repartition(tasks, "block").sortWithinPartitions("block"), search, k)
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:

@@ -280,7 +280,9 @@ def corpus_stats(spark, sf):
 @_query
 def bm25_idf(spark, sf):
     chunks = _chunks(spark, sf)
-    rows = index.bm25_idf(index.document_frequencies(index.term_frequencies(chunks)), index.corpus_stats(chunks))
+    # the texts are tokenised once, for the frequencies and their mean
+    postings = files.materialize(index.term_frequencies(chunks), "postings")
+    rows = index.bm25_idf(index.document_frequencies(postings), index.stats_of_postings(chunks, postings))
     return rows.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -296,7 +298,8 @@ def encode_text(spark, sf):
 def _search_input(spark, sf):
     chunks = _chunks(spark, sf)
     # the statistics read the postings, which are tokenised once
-    postings, stats = files.materialize(index.term_frequencies(chunks), "postings"), files.materialize(index.corpus_stats(chunks), "stats")
+    postings = files.materialize(index.term_frequencies(chunks), "postings")
+    stats = files.materialize(index.stats_of_postings(chunks, postings), "stats")
     asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.concat(F.lit("B-"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("search_query"))
     return asked, postings, index.bm25_idf(index.document_frequencies(postings), stats), stats
 
