@@ -3,7 +3,9 @@
 Every run of ``LEAST`` words (a window) is named by its least hash of ``GRAM`` neighbouring words, its anchor, so equal windows
 have equal anchors wherever they stand.  Only windows whose anchor is in two documents or more are compared, by a digest
 of all their words.  Of equal windows, those in the first document (by doc_id) stay; all words of the others are
-repeated.  Windows that follow one another and have their first place in step make one stretch.
+repeated.  Windows that follow one another and have places in step in the first document make one stretch; where that document has a
+window several times (as a line of one pair of words has), the place in step is taken, else the one of the same number, and
+after the last the first again.
 
 Cases: null and empty texts, and those under ``LEAST`` words, have no windows; a text of any length is searched whole; repeats within one
 document only are left alone; rows without ``doc_id`` take no part; rows that share a ``doc_id`` count as one document; of equal places the
@@ -12,6 +14,7 @@ first by ``doc_id`` stays; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,32 +117,44 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _own(docs).join(wanted.hint("merge"), "doc_id").mapInArrow(run, "key bigint, doc_id bigint, of bigint, start int, windows array<bigint>")
 
 
+def _holds(places: list[int], place: int) -> bool:
+    """Whether ``place`` is one of ``places``, which rise."""
+    k = bisect_left(places, place)
+    return k < len(places) and places[k] == place
+
+
 def _matches(windows: DataFrame) -> DataFrame:
     """``doc_id, of, start, stop, class_doc, step``: words that an earlier document has, ``step`` words further on."""
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
     names = ["doc_id", "of", "start", "stop", "class_doc", "step"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, seen = None, {}
+        current, owner, seen, met = None, None, {}, {}
         for batch in batches:
             out = []
             for key, doc, of, start, digests in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "of", "start", "windows")), strict=True):
                 if key != current:
-                    current, seen = key, {}
+                    current, owner, seen = key, None, {}
+                if (doc, of) != owner:
+                    owner, met = (doc, of), {}
                 last = None
                 for i, d in enumerate(digests, start):
                     # a group's rows come by document and place
-                    first = seen.setdefault(d, (doc, i))
-                    if first[0] == doc:
+                    first_doc, first_of, places = seen.setdefault(d, (doc, of, []))
+                    if first_doc == doc:
                         last = None
-                    elif last and last[4] == first[0] and last[5] == first[1] - i:
+                        if first_of == of:
+                            places.append(i)
+                        continue
+                    nth = met[d] = met.get(d, -1) + 1
+                    if last and last[4] == first_doc and _holds(places, i + last[5]):
                         last[3] = i + LEAST
                     else:
-                        out.append(last := [doc, of, i, i + LEAST, first[0], first[1] - i])
+                        out.append(last := [doc, of, i, i + LEAST, first_doc, places[nth % len(places)] - i])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    ordered = windows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
+    ordered = windows.repartition("key").sortWithinPartitions("key", "doc_id", "of", "start")
     return ordered.mapInArrow(run, "doc_id bigint, of bigint, start int, stop int, class_doc bigint, step int")
 
 

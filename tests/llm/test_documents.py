@@ -406,6 +406,24 @@ def test_whole_passages_are_repeated(spark, monkeypatch, large):
     assert all(lower(cut[d]).split() == [x for k, x in enumerate(lower(t).split()) if (d, k) not in listed] for d, t in rows)
 
 
+@pytest.mark.parametrize("large", [2, 2000])
+def test_a_text_of_one_pair_of_words_is_few_stretches(spark, monkeypatch, large):
+    monkeypatch.setattr(stretches, "LARGE", large)
+    lengths = {1: 201, 2: 150, 3: 300, 4: 700, 5: 201}
+    rows = [(d, prose(10, d) + " " + " ".join(["in the", "the in"][d % 2].split()[k % 2] for k in range(n)) + " " + prose(10, 50 + d)) for d, n in lengths.items()]
+    found = stretches.stretches(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    text = {d: lower(t).split() for d, t in rows}
+    for r in found:
+        assert r.class_doc_id < r.doc_id and text[r.doc_id][r.start_word :][: r.n_words] == text[r.class_doc_id][r.class_start :][: r.n_words]
+    assert {(r.doc_id, k) for r in found for k in range(r.start_word, r.start_word + r.n_words)} == plain_stretches(rows, stretches.LEAST)
+    # one by one, windows of either word may be out of step once the first document's have been passed
+    assert len(found) <= 2 * sum(1 + n // (lengths[1] - stretches.LEAST) for d, n in lengths.items() if d > 1)
+    if large > 2:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        wanted = stretches._anchors(docs).distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.array().cast("array<bigint>").alias("large"))
+        assert stretches._matches(stretches._windows(docs, wanted)).count() < 30  # before: a row for every other window
+
+
 def test_bands_reach_the_recall():
     n = paragraphs.tune_bands(0.8, 0.98, 2)
     assert 1 - (1 - 0.8**2) ** n >= 0.98 > 1 - (1 - 0.8**2) ** (n - 1)
