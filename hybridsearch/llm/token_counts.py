@@ -77,7 +77,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, cache_
                 yield pa.RecordBatch.from_pydict({"content_digest": some.column("content_digest"), "tokenizer_digest": pa.array([version] * len(n)), "n_tokens": pa.array(n)})
 
     misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(path)
-    # two writers may have counted the same text: one row each; as a table, so that Spark can divide the rows of a text with many copies
-    counts = materialize(_cached(docs, path, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    counts = _cached(docs, path, version)
+    if cache_path:
+        # two writers may have counted the same text: one row each; as a table, so that Spark can divide the rows of a text with many copies
+        counts = materialize(counts.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     narrow = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "content_digest")
     return narrow.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from hybridsearch.llm import bpe, token_counts, token_files
+from hybridsearch.llm import bpe, common, token_counts, token_files
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 TEXTS = [
@@ -27,6 +27,19 @@ def rows(spark):
     return spark.createDataFrame([(i if i else None, t, i, "x") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, n_tokens bigint, tokens string")
 
 
+def test_a_cache_of_one_call_is_not_written_again(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(token_counts, "materialize", lambda df, label: written.append(label) or common.materialize(df, label))
+    tok, docs = Tokenizer.from_file(WORD), rows(spark)
+    got = token_counts.token_counts(docs.unionByName(docs), WORD).collect()
+    want = [len(tok.encode(t or "", add_special_tokens=False).ids) for t in TEXTS]
+    assert sorted(r.n_tokens for r in got) == sorted(want * 2) and not written
+    path = common.new_path(spark, "counts-test")
+    for _ in range(2):
+        assert sorted(r.n_tokens for r in token_counts.token_counts(docs, WORD, cache_path=path).collect()) == sorted(want)
+    assert written == ["counts", "counts"]
+
+
 def test_encoder_equals_library():
     coder, tok = bpe.load(BYTE), Tokenizer.from_file(BYTE)
     texts = [t or "" for t in TEXTS]
