@@ -192,7 +192,7 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     n = tune_bands(similarity, recall)
     # bands with two digests or more; copies merge before the shuffle
     shared = _bands(docs, n, min_words).groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high")
-    shared = materialize(shared.select("band"), "shared-bands")
+    shared = materialize(shared.select("band"), "shared-bands", gather=True)
     few = shared.count() <= BROADCAST_ROWS
     members = _bands(docs, n, min_words).join(F.broadcast(shared) if few else shared, "band").groupBy("band", "digest").agg(F.min("doc_id").alias("doc_id"))
     members = materialize(members, "buckets")
@@ -235,7 +235,7 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = 1) -> DataFrame:
     """``doc_id, start_word, n_words, class_doc_id, class_start, class_size, removed, digest``: every paragraph of a class
     that occurs in several documents.  The class is named by its first paragraph's place."""
-    places = materialize(_places(docs, min_words), "paragraphs")
+    places = materialize(_places(docs, min_words), "paragraphs", gather=True)
     classes = connected_components(similar_links(docs, similarity, recall, min_words))
     first = F.min(F.struct("doc_id", "start"))
     digests = places.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first"), F.max("doc_id").alias("last_doc"))

@@ -163,7 +163,7 @@ def stretches(docs: DataFrame) -> DataFrame:
     first place and its text's digest."""
     anchors = materialize(_anchors(docs).distinct(), "anchors")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = materialize(shared.select("anchor", (F.col("n") > LARGE).alias("many")), "shared-anchors")
+    shared = materialize(shared.select("anchor", (F.col("n") > LARGE).alias("many")), "shared-anchors", gather=True)
     few = shared.count() <= BROADCAST_ROWS
     places = anchors.join(F.broadcast(shared) if few else shared, "anchor")
     wanted = materialize(places.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("large")), "wanted-anchors")

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hybridsearch.llm import decontaminate, graph, license_scan, outliers, paragraphs, quality, sharding, simhash, stretches
+from hybridsearch.llm import common, decontaminate, graph, license_scan, outliers, paragraphs, quality, sharding, simhash, stretches
 
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
@@ -424,6 +425,15 @@ def test_a_text_of_one_pair_of_words_is_few_stretches(spark, monkeypatch, large)
         assert stretches._matches(stretches._windows(docs, wanted)).count() < 30  # before: a row for every other window
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Each file costs its executor two children; what 24 tasks list of small texts goes to a file a core at most."""
+    paths, docs = {}, spark.createDataFrame([(i, prose(80, i % 20)) for i in range(48)], "doc_id bigint, text string").repartition(24)
+    monkeypatch.setattr(common, "new_path", lambda s, label, f=common.new_path: paths.update({label: (path := f(s, label))}) or path)
+    found = paragraphs.repeats(docs).where("removed").count()
+    files = Path(paths["paragraphs"].removeprefix("file://")).glob("part-*")
+    assert found == 28 and len(list(files)) <= 4
+
+
 def test_bands_reach_the_recall():
     n = paragraphs.tune_bands(0.8, 0.98, 2)
     assert 1 - (1 - 0.8**2) ** n >= 0.98 > 1 - (1 - 0.8**2) ** (n - 1)
