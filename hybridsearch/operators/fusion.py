@@ -57,8 +57,12 @@ def part_priority(candidates: DataFrame, queries: DataFrame) -> DataFrame:
 
 def token_overlap(query: Column, passage: Column) -> Column:
     """The share of a query's distinct tokens that a passage has: the default scorer."""
-    own = F.array_distinct(tokenize(query))
-    return F.coalesce(F.size(F.array_intersect(own, tokenize(passage))) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0)).cast("double")
+    return _share(F.array_distinct(tokenize(query)), tokenize(passage))
+
+
+def _share(own: Column, tokens: Column) -> Column:
+    """The share of distinct tokens ``own`` that are among ``tokens``; only the few of a query are put in a set."""
+    return F.coalesce(F.size(F.array_intersect(tokens, own)) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0)).cast("double")
 
 
 def rerank(
@@ -76,11 +80,18 @@ def rerank(
         passage = F.col("text")
         if parents is not None:
             own = parents.select("standard_id", F.col("text").alias("parent_text")).dropDuplicates(["standard_id"])
+            if scorer is None:
+                # a parent is taken apart once, not for each of its candidates
+                own = own.select("standard_id", F.array_distinct(tokenize(F.col("parent_text"))).alias("parent_text"))
+                passage = F.coalesce("parent_text", tokenize(F.col("text")))
+            else:
+                passage = F.coalesce("parent_text", "text")
             rows = own.join(_small(rows), "standard_id", "right")
-            passage = F.coalesce("parent_text", "text")
+        elif scorer is None:
+            passage = tokenize(passage)
         rows = rows.withColumn("passage", passage)
         if scorer is None:
-            rows = rows.withColumn("rerank_score", token_overlap(F.col("asked"), F.col("passage")))
+            rows = rows.withColumn("rerank_score", _share(F.array_distinct(tokenize(F.col("asked"))), F.col("passage")))
         else:
 
             @F.pandas_udf("double")
